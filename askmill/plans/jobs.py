@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askmill.operators import contexts as cx
-from askmill.operators import difficulty as df_
+from askmill.operators import difficulty as di
 from askmill.operators import errors as er
 from askmill.operators.editor import classify_editor_events, settings_gate
-from askmill.operators.personal import final_rank, score_posts_for_user, weighted_rank
+from askmill.operators.personal import personal_ranks
 from askmill.operators.posts import SORT_WORDS, excerpt_posts
 from askmill.operators.requests import normalise_requests
-from askmill.operators.search import index_posts, match_posts, search_with_backoff
-from askmill.plans.ordered import row_number
+from askmill.operators.search import search_with_backoff
+from askmill.plans.ordered import hot_keys, row_number
+from askmill.session import checkpointed
 
 auto_query = cx.auto_query
 
@@ -67,6 +68,7 @@ def _sort_key(sort: Column) -> Column:
 def personalised_search(
     requests: DataFrame,
     posts: DataFrame,
+    index: DataFrame,
     stats: DataFrame,
     profile: DataFrame,
     tag_stats: DataFrame,
@@ -77,42 +79,43 @@ def personalised_search(
     """Ranked, excerpted results of every request.
 
     Requests have request_id, user_id, q, tags, sort and backoff (automatic requests back off). Posts
-    have post_id, title, body, tags, votes, created, active. A request sorted by relevance is
-    re-ranked by its user's tag profile; any other keeps its order. Excerpts are cut before the
-    posts are shuffled, so bodies never travel.
+    have post_id, title, body, tags, votes, created, active; `index` is their stored `index_posts`.
+    A request sorted by relevance is re-ranked by its user's tag profile; any other keeps its order.
+    Excerpts are cut before the posts are shuffled, so bodies never travel.
     """
     ready = normalise_requests(requests).withColumn("q", F.col("clean_q"))
-    index = index_posts(posts)
-    plain = ready.where(~F.col("backoff"))
-    direct = match_posts(plain, index, stats).join(
-        plain.select("request_id", F.col("q").alias("query")), "request_id"
-    )
-    backed = search_with_backoff(ready.where(F.col("backoff")), index, stats)
-    found = direct.unionByName(backed).where(F.col("post_id").isNotNull())
-
+    found = search_with_backoff(ready, index, stats).where(F.col("post_id").isNotNull())
     shown = excerpt_posts(posts, open_mark, close_mark).select(
         "post_id", "title", "excerpt", "has_more", "tags", "votes", "created", "active"
     )
-    listed = found.join(shown, "post_id").join(
-        ready.select("request_id", "user_id", "sort"), "request_id"
-    )
-    keyed = listed.withColumns(
-        {"_key": -_sort_key(F.col("sort")), "_last": _sort_key(F.col("sort")).isNull()}
-    )
-    placed = row_number(keyed, ["request_id"], ["_last", "_key", "post_id"], "initial_rank")
-    placed = placed.drop("_key", "_last").withColumn("position", F.col("initial_rank"))
-
-    by_relevance = placed.where(F.col("sort") == "relevance")
-    scores = score_posts_for_user(by_relevance, profile, tag_stats)
-    scored = scores.withColumn("initial_rank", F.col("position"))
-    ranked = final_rank(weighted_rank(scored)).select("request_id", "post_id", "score", "final_rank")
-    rest = placed.where(F.col("sort") != "relevance").withColumns(
-        {"score": F.lit(None).cast("double"), "final_rank": F.col("position")}
+    # written once: every rank below reads it
+    listed = checkpointed(
+        found.join(shown, "post_id").join(
+            ready.select("request_id", "user_id", "sort"), "request_id"
+        )
     )
-    both = by_relevance.join(ranked, ["request_id", "post_id"]).unionByName(rest)
+    hot = hot_keys(listed, ["request_id"])
+    key = _sort_key(F.col("sort"))
+    keyed = listed.withColumns({"_key": -key, "_last": key.isNull()})
+    order = ["_last", "_key", "post_id"]
+    placed = row_number(keyed, ["request_id"], order, "position", hot=hot).drop("_key", "_last")
+
+    personal = F.col("sort") == "relevance"
+    results = placed.where(personal).select("request_id", "user_id", "post_id", "position", "tags")
+    ranked = personal_ranks(results, profile, tag_stats, hot=hot)
+    ranks = ranked.select("request_id", "post_id", "score", "final_rank")
+    both = placed.join(ranks, ["request_id", "post_id"], "left")
     return both.select(
-        "request_id", "query", "sort", "final_rank", "initial_rank", "score", "post_id", "title",
-        "excerpt", "has_more",
+        "request_id",
+        "query",
+        "sort",
+        F.coalesce("final_rank", "position").alias("final_rank"),
+        F.col("position").alias("initial_rank"),
+        "score",
+        "post_id",
+        "title",
+        "excerpt",
+        "has_more",
     )
 
 
@@ -122,6 +125,7 @@ def difficulty_to_search(
     settings: DataFrame,
     visible: DataFrame,
     posts: DataFrame,
+    index: DataFrame,
     stats: DataFrame,
     doc_count: Column,
     profile: DataFrame,
@@ -133,10 +137,10 @@ def difficulty_to_search(
     The request_id is `user_id:event_id` of the trigger. Contexts without terms search for nothing.
     """
     events = classify_editor_events(raw)
-    triggers = df_.difficulty_triggers(df_.detect_difficulty(events))
-    stuck = df_.difficulty_queries(triggers, contexts, settings, visible)
-    requests = trigger_requests(stuck, stats, doc_count)
-    return personalised_search(requests, posts, stats, profile, tag_stats, **marks)
+    triggers = di.difficulty_triggers(di.detect_difficulty(events))
+    stuck = di.difficulty_queries(triggers, contexts, settings, visible)
+    requests = checkpointed(trigger_requests(stuck, stats, doc_count))
+    return personalised_search(requests, posts, index, stats, profile, tag_stats, **marks)
 
 
 def trigger_requests(stuck: DataFrame, stats: DataFrame, doc_count: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from askmill.operators.difficulty import difficulty_queries, difficulty_triggers
 from askmill.operators.personal import tag_profile
 from askmill.operators.search import error_search
 from askmill.plans.jobs import personalised_search, trigger_requests
+from askmill.session import checkpointed
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -22,17 +23,22 @@ def tag_profile_stream(interactions: DataFrame) -> DataFrame:
     return tag_profile(interactions)
 
 
-def keep_profile(interactions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def keep_profile(
+    interactions: DataFrame, path: str, checkpoint: str, *, available_now: bool = False
+) -> StreamingQuery:
     """Keep a profile table up to date under `path`.
 
     Every micro-batch writes the rows it has changed to a folder of its own, so a repeated batch
     overwrites what it wrote before. `latest_profile` reads the newest row of each (user, tag).
+    `available_now` stops once the data there is has been taken in.
     """
 
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     stream = tag_profile_stream(interactions).writeStream.outputMode("update")
+    if available_now:
+        stream = stream.trigger(availableNow=True)
     return stream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
 
@@ -47,6 +53,7 @@ def search_when_stuck(
     settings: DataFrame,
     visible: DataFrame,
     posts: DataFrame,
+    index: DataFrame,
     stats: DataFrame,
     doc_count: Column,
     profile: DataFrame,
@@ -61,8 +68,8 @@ def search_when_stuck(
     def search(lines: DataFrame, batch: int) -> None:
         triggers = difficulty_triggers(lines)
         stuck = difficulty_queries(triggers, contexts, settings, visible)
-        requests = trigger_requests(stuck, stats, doc_count)
-        sink(personalised_search(requests, posts, stats, profile, tag_stats, **marks), batch)
+        requests = checkpointed(trigger_requests(stuck, stats, doc_count))
+        sink(personalised_search(requests, posts, index, stats, profile, tag_stats, **marks), batch)
 
     return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(search).start()
 
