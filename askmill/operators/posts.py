@@ -128,10 +128,8 @@ def excerpt_posts(
     tolerance: int = 100,
 ) -> DataFrame:
     """Add the excerpt that tears no marked block, and whether the body goes on after it."""
-    body = F.col("body")
-    length = F.greatest(
-        tx.excerpt_cut(body, open_mark, close_mark, cutoff, tolerance), F.lit(0)
-    )
+    body = F.coalesce("body", F.lit(""))
+    length = F.greatest(tx.excerpt_cut(body, open_mark, close_mark, cutoff, tolerance), F.lit(0))
     return posts.withColumn("excerpt", F.substring(body, F.lit(1), length)).withColumn(
         "has_more", F.length(body) > F.length("excerpt")
     )

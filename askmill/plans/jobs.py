@@ -144,11 +144,14 @@ def difficulty_to_search(
 
 
 def trigger_requests(stuck: DataFrame, stats: DataFrame, doc_count: Column) -> DataFrame:
-    """Automatic requests for the contexts of `difficulty_queries`."""
+    """Automatic requests for the contexts of `difficulty_queries`.
+
+    A context_id starts with the user, so the user needs no join.
+    """
     queries = cx.auto_query(stuck, stats, doc_count).where(F.col("query") != "")
-    return queries.join(stuck.select("context_id", "user_id"), "context_id").select(
+    return queries.select(
         F.col("context_id").alias("request_id"),
-        "user_id",
+        F.substring_index("context_id", ":", 1).cast("long").alias("user_id"),
         F.col("query").alias("q"),
         F.array().cast("array<string>").alias("tags"),
         F.lit("relevance").alias("sort"),
