@@ -14,7 +14,7 @@ from askmill.operators.posts import SORT_WORDS, excerpt_posts
 from askmill.operators.requests import normalise_requests
 from askmill.operators.search import search_with_backoff
 from askmill.plans.ordered import hot_keys, row_number
-from askmill.session import checkpointed
+from askmill.session import stored
 
 auto_query = cx.auto_query
 
@@ -89,11 +89,8 @@ def personalised_search(
         "post_id", "title", "excerpt", "has_more", "tags", "votes", "created", "active"
     )
     # written once: every rank below reads it
-    listed = checkpointed(
-        found.join(shown, "post_id").join(
-            ready.select("request_id", "user_id", "sort"), "request_id"
-        )
-    )
+    asked = ready.select("request_id", "user_id", "sort")
+    listed = stored(found.join(shown, "post_id").join(asked, "request_id"), "listed")
     hot = hot_keys(listed, ["request_id"])
     key = _sort_key(F.col("sort"))
     keyed = listed.withColumns({"_key": -key, "_last": key.isNull()})
@@ -139,7 +136,7 @@ def difficulty_to_search(
     events = classify_editor_events(raw)
     triggers = di.difficulty_triggers(di.detect_difficulty(events))
     stuck = di.difficulty_queries(triggers, contexts, settings, visible)
-    requests = checkpointed(trigger_requests(stuck, stats, doc_count))
+    requests = stored(trigger_requests(stuck, stats, doc_count), "requests")
     return personalised_search(requests, posts, index, stats, profile, tag_stats, **marks)
 
 

@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from askmill.session import checkpointed
+from askmill.session import stored
 
 HOT_ROWS_CONF = "askmill.hotKeyRows"
 HOT_ROWS = 2_000_000
@@ -61,9 +63,8 @@ def _slices(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[
     rows = hot.agg(F.sum("_rows")).first()[0]
     parts = max(2, math.ceil(2 * rows / _limit(df)))
     mine = _join(df, hot, keys, "left_semi")
-    return checkpointed(
-        mine.repartitionByRange(parts, *keys, *order).withColumn(SLICE, F.spark_partition_id())
-    )
+    cut = mine.repartitionByRange(parts, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    return stored(cut, "slices")
 
 
 def _window(keys: Sequence[str], order: Sequence[str], first: int, last: int) -> WindowSpec:
@@ -191,7 +192,51 @@ def looking_back(
     return local(_without(df, hot, keys), keys).unionByName(seen)
 
 
-Fold = Callable[[pd.DataFrame, dict | None], tuple[list[tuple], dict]]
+# Takes the next rows of one key and the state left by those before (None at the start); gives
+# output rows and the state it leaves.
+Fold = Callable[[list[tuple], dict | None], tuple[list[tuple], dict]]
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _folding(
+    fold: Fold, width: int, schema: StructType, *, has_entry: bool, exits: bool
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work: fold partition rows that are sorted by the first `width` columns and in order.
+
+    Rows stream through in batches, so a key may be larger than memory. With `has_entry` the column
+    after the key holds the state to start from; with `exits` the states left are put out.
+    """
+    fields = [pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in schema]
+    arrow = pa.schema(fields)
+    first = width + 1 if has_entry else width
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(fields)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, fields)], schema=arrow
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            rows = list(zip(*[column.to_pylist() for column in batch.columns]))
+            out: list[tuple] = []
+            for this, group in groupby(rows, key=lambda row: row[:width]):
+                mine = list(group)
+                if this != key:
+                    if exits and key is not None:
+                        out.append((*key, json.dumps(state)))
+                    entry = mine[0][width] if has_entry else None
+                    key, state = this, json.loads(entry) if entry else None
+                lines, state = fold([row[first:] for row in mine], state)
+                if not exits:
+                    out += [(*this, *line) for line in lines]
+            yield batch_of(out)
+        if exits and key is not None:
+            yield batch_of([(*key, json.dumps(state))])
+
+    return run
 
 
 def fold_rows(
@@ -199,67 +244,58 @@ def fold_rows(
 ) -> DataFrame:
     """Run a state machine over the rows of every key, in order.
 
-    `fold` takes a sorted batch of one key's rows and the state left by the batch before (None at
-    the start), and gives output rows and the state it leaves; states are JSON dictionaries. `schema`
-    describes the output rows, which follow the key columns.
+    `fold` is given the columns of `df` that are not keys, as tuples; `schema` describes its output
+    rows, which follow the key columns (long, int and string). States are JSON dictionaries.
 
     The slices of a hot key are first folded side by side, each as if it were the start. A slice
     whose incoming state turns out to be different is folded again, until the states agree; machines
     that forget their past soon agree after one more pass, and in the worst case the slices are
     folded one after the other. The result is that of one pass in order either way.
     """
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-    def outputs(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = _run(pdf)
-        head = tuple(pdf[k].iat[0] for k in keys)
-        return pd.DataFrame([head + row for row in rows], columns=names)
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in df.columns if c not in keys]
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, state = _run(pdf)
-        head = [pdf[k].iat[0] for k in keys]
-        return pd.DataFrame([[*head, pdf[SLICE].iat[0], json.dumps(state)]])
+    def sorted_by(rows: DataFrame, within: Sequence[str]) -> DataFrame:
+        # a fixed number of tasks: few bytes can still be much work for a fold
+        return rows.repartition(tasks, *within).sortWithinPartitions(*within, *order)
 
-    def _run(pdf: pd.DataFrame) -> tuple[list[tuple], dict]:
-        state = pdf["_entry"].iat[0] if "_entry" in pdf.columns else None
-        ordered = pdf.sort_values(list(order), kind="stable")
-        return fold(ordered, json.loads(state) if state else None)
+    def of(text: str) -> StructType:
+        return spark.createDataFrame([], text).schema
 
-    out_schema = f"{key_schema}, {schema}"
-    names = df.sparkSession.createDataFrame([], out_schema).columns
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    out_schema = of(f"{key_schema}, {schema}")
+    plain = _folding(fold, len(keys), out_schema, has_entry=False, exits=False)
 
     hot = hot_keys(df, keys)
+    rows = df.select(*keys, *rest)
     if hot is None:
-        return df.groupBy(*keys).applyInPandas(outputs, out_schema)
+        return sorted_by(rows, keys).mapInArrow(plain, out_schema)
 
-    slices = _slices(df, hot, keys, order)
-    spark = df.sparkSession
-    entry_schema = f"{key_schema}, {SLICE} int, _entry string"
+    slices = _slices(rows, hot, keys, order)
+    within = [*keys, SLICE]
+    entry_schema = of(f"{key_schema}, {SLICE} int, _entry string")
+    exit_schema = of(f"{key_schema}, {SLICE} int, _exit string")
 
-    def with_entries(entries: dict[tuple, str | None], how: str) -> DataFrame:
+    def with_entries(entries: dict[tuple, str | None]) -> DataFrame:
         table = spark.createDataFrame([(*k, v) for k, v in entries.items()], entry_schema)
-        return _join(slices, table, [*keys, SLICE], how)
+        met = _join(slices, table, within, "inner").select(*within, "_entry", *rest)
+        return sorted_by(met, within)
 
-    entries = {tuple(r): None for r in slices.select(*keys, SLICE).distinct().collect()}
+    entries = {tuple(r): None for r in slices.select(*within).distinct().collect()}
     chain = sorted(entries, key=lambda k: (tuple(map(str, k[:-1])), k[-1]))
     exit_of: dict[tuple, str] = {}
+    leaving = _folding(fold, len(within), exit_schema, has_entry=True, exits=True)
     stale = entries
     while stale:
-        done = (
-            with_entries(stale, "inner")
-            .groupBy(*keys, SLICE)
-            .applyInPandas(exits, f"{key_schema}, {SLICE} int, _exit string")
-            .collect()
-        )
+        done = with_entries(stale).mapInArrow(leaving, exit_schema).collect()
         exit_of.update({tuple(r)[:-1]: r["_exit"] for r in done})
         stale = {}
         for previous, this in zip(chain, chain[1:]):
             if previous[:-1] == this[:-1] and entries[this] != exit_of[previous]:
                 stale[this] = entries[this] = exit_of[previous]
-    folded = with_entries(entries, "inner").groupBy(*keys, SLICE).applyInPandas(outputs, out_schema)
-    return (
-        _without(df, hot, keys)
-        .groupBy(*keys)
-        .applyInPandas(outputs, out_schema)
-        .unionByName(folded)
-    )
+    sliced_schema = of(f"{key_schema}, {SLICE} int, {schema}")
+    putting = _folding(fold, len(within), sliced_schema, has_entry=True, exits=False)
+    folded = with_entries(entries).mapInArrow(putting, sliced_schema).drop(SLICE)
+    cold = sorted_by(_without(rows, hot, keys), keys).mapInArrow(plain, out_schema)
+    return cold.unionByName(folded)

@@ -13,7 +13,7 @@ from askmill.operators.difficulty import difficulty_queries, difficulty_triggers
 from askmill.operators.personal import tag_profile
 from askmill.operators.search import error_search
 from askmill.plans.jobs import personalised_search, trigger_requests
-from askmill.session import checkpointed
+from askmill.session import stored
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -68,7 +68,7 @@ def search_when_stuck(
     def search(lines: DataFrame, batch: int) -> None:
         triggers = difficulty_triggers(lines)
         stuck = difficulty_queries(triggers, contexts, settings, visible)
-        requests = checkpointed(trigger_requests(stuck, stats, doc_count))
+        requests = stored(trigger_requests(stuck, stats, doc_count), "requests")
         sink(personalised_search(requests, posts, index, stats, profile, tag_stats, **marks), batch)
 
     return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(search).start()

@@ -22,7 +22,7 @@ from askmill.operators import requests as rq
 from askmill.operators import search as se
 from askmill.operators import telemetry as te
 from askmill.plans import jobs
-from askmill.session import checkpointed, shared_folder
+from askmill.session import shared_folder, stored
 from askmill.sources import responses as rs
 from askmill.sources import stats_xml
 from askmill.sources import telemetry as tl
@@ -408,7 +408,7 @@ def _search_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     posts = t.document_posts()
     stats = cp.term_stats(posts, "body")
     requests = rq.normalise_requests(t.requests()).withColumn("q", F.col("clean_q"))
-    return requests.drop("backoff"), checkpointed(se.index_posts(posts)), checkpointed(stats)
+    return requests.drop("backoff"), stored(se.index_posts(posts), "index"), stored(stats, "stats")
 
 
 @query
@@ -635,9 +635,9 @@ def personalised_search(t: Tables) -> DataFrame:
     found = jobs.personalised_search(
         t.requests(),
         posts,
-        checkpointed(se.index_posts(posts)),
-        checkpointed(cp.term_stats(posts, "body")),
-        checkpointed(profile),
+        stored(se.index_posts(posts), "index"),
+        stored(cp.term_stats(posts, "body"), "stats"),
+        stored(profile, "profile"),
         tags,
         open_mark="the",
         close_mark="and",
@@ -654,10 +654,10 @@ def difficulty_to_search(t: Tables) -> DataFrame:
         t.generous_settings(),
         t.visible(),
         posts,
-        checkpointed(se.index_posts(posts)),
-        checkpointed(_part_stats(t)),
+        stored(se.index_posts(posts), "index"),
+        stored(_part_stats(t), "stats"),
         t.read("part").select(F.count(F.lit(1))).scalar(),
-        checkpointed(pe.tag_profile(t.clicks_on_parts())),
-        checkpointed(_tag_stats(t)),
+        stored(pe.tag_profile(t.clicks_on_parts()), "profile"),
+        stored(_tag_stats(t), "tags"),
     )
     return _rounded(found, "score")
