@@ -118,6 +118,7 @@ class Tables:
     def clicks_on_parts(self) -> DataFrame:
         """Weighted interactions of users with tagged posts."""
         lines = self.read("lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+        lines = spread(lines, "l_orderkey")
         orders = self.read("orders").select("o_orderkey", "o_custkey")
         weight = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2)
         return (
@@ -131,6 +132,7 @@ class Tables:
         lines = self.read("lineitem").select(
             F.col("l_orderkey").alias("request_id"), "l_linenumber", "l_partkey", "l_suppkey"
         )
+        lines = spread(lines, "request_id")
         order = ["l_linenumber", "l_partkey", "l_suppkey"]
         placed = row_number(lines, ["request_id"], order, "position")
         users = self.read("orders").select(
