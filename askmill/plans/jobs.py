@@ -81,16 +81,15 @@ def personalised_search(
     Requests have request_id, user_id, q, tags, sort and backoff (automatic requests back off). Posts
     have post_id, title, body, tags, votes, created, active; `index` is their stored `index_posts`.
     A request sorted by relevance is re-ranked by its user's tag profile; any other keeps its order.
-    Excerpts are cut before the posts are shuffled, so bodies never travel.
+    Ranks are found on narrow rows; excerpts are cut in the posts' own rows and join last, so bodies
+    never travel.
     """
     ready = normalise_requests(requests).withColumn("q", F.col("clean_q"))
     found = search_with_backoff(ready, index, stats).where(F.col("post_id").isNotNull())
-    shown = excerpt_posts(posts, open_mark, close_mark).select(
-        "post_id", "title", "excerpt", "has_more", "tags", "votes", "created", "active"
-    )
-    # written once: every rank below reads it
+    facts = posts.select("post_id", "tags", "votes", "created", "active")
     asked = ready.select("request_id", "user_id", "sort")
-    listed = stored(found.join(shown, "post_id").join(asked, "request_id"), "listed")
+    # written once: every rank below reads it
+    listed = stored(found.join(facts, "post_id").join(asked, "request_id"), "listed")
     hot = hot_keys(listed, ["request_id"])
     key = _sort_key(F.col("sort"))
     keyed = listed.withColumns({"_key": -key, "_last": key.isNull()})
@@ -102,7 +101,8 @@ def personalised_search(
     ranked = personal_ranks(results, profile, tag_stats, hot=hot)
     ranks = ranked.select("request_id", "post_id", "score", "final_rank")
     both = placed.join(ranks, ["request_id", "post_id"], "left")
-    return both.select(
+    shown = excerpt_posts(posts, open_mark, close_mark)
+    return both.join(shown.select("post_id", "title", "excerpt", "has_more"), "post_id").select(
         "request_id",
         "query",
         "sort",

@@ -49,38 +49,41 @@ class OrderedMachine(StatefulProcessor):
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timerValues
     ) -> Iterator[pd.DataFrame]:
+        fresh: list[tuple] = []
         for batch in rows:
-            self.waiting.appendList(list(batch[self.columns].itertuples(index=False, name=None)))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+            fresh += batch[self.columns].itertuples(index=False, name=None)
+        yield from self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key: tuple, now: int) -> Iterator[pd.DataFrame]:
-        held = [tuple(row) for row in self.waiting.get()]
-        ready = sorted((r for r in held if r[0] <= now), key=lambda r: r[: self.order])
-        later = [r for r in held if r[0] > now]
-        state = json.loads(self.machine.get()[0]) if self.machine.exists() else None
-        lines, state = self.fold(ready, state, now)
-        if ready:
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
-        self.machine.update((json.dumps(state),))
-        self._set_timer(now, [r[0] for r in later], self.wake_at(state))
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key: tuple, fresh: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        kept = json.loads(self.machine.get()[0]) if self.machine.exists() else {}
+        held = [tuple(row) for row in self.waiting.get()] if kept.get("held") else []
+        ready, later = [], []
+        for row in [*held, *fresh]:
+            (ready if row[0] <= now else later).append(row)
+        lines, state = self.fold(
+            sorted(ready, key=lambda row: row[: self.order]), kept.get("state"), now
+        )
+        if later:
+            self.waiting.put(later)
+        elif held:
+            self.waiting.clear()
+        due = min((row[0] for row in later), default=None)
+        wake = self.wake_at(state)
+        if wake is not None and (due is None or wake < due):
+            due = wake
+        self._set_timer(kept.get("timer"), due, now)
+        self.machine.update((json.dumps({"state": state, "held": bool(later), "timer": due}),))
         if lines:
-            frame = pd.DataFrame(
-                [tuple(key) + line for line in lines], columns=self.out_columns, dtype=object
-            )
-            yield frame
-
-    def _set_timer(self, now: int, waiting: list[int], wake: int | None) -> None:
-        due = min([*waiting, *([wake] if wake is not None else [])], default=None)
-        for timer in list(self.handle.listTimers()):
-            if timer != due:
-                self.handle.deleteTimer(timer)
-        if due is not None and due > now:
+            rows = [tuple(key) + line for line in lines]
+            yield pd.DataFrame(rows, columns=self.out_columns, dtype=object)
+
+    def _set_timer(self, old: int | None, due: int | None, now: int) -> None:
+        if old is not None and old > now and old != due:
+            self.handle.deleteTimer(old)
+        if due is not None and (old != due or old <= now):
             self.handle.registerTimer(due)
 
 
