@@ -54,12 +54,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores, before costly work on its rows.
+    """Spread a small scan over the cores before costly work on its rows.
 
-    Large tables have more splits than cores and come back as they are.
+    A file of one row group is one task's work however it is split, so a scan counts as small up to
+    two splits per core, and never above 64 splits; larger tables come back as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if splits < min(2 * cores, 64) else df
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
