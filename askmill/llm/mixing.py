@@ -33,8 +33,6 @@ MOST = 2
 SEED = 17
 #: The budget that dynamic programming fits at most, in words.
 KNAPSACK = 4096
-#: Documents of one length that one task draws from.
-BUCKET = 5_000
 
 _NEW = ["size", "source_size", "target", "taken"]
 
@@ -175,8 +173,8 @@ def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int)
         "counts",
     )
     # Documents of one source and length are drawn in the order of their hash. Its top bits part them into
-    # buckets; a bucket is taken whole, not at all, or (one for each length) up to a place in it.
-    buckets = F.ceil(F.col("n") / BUCKET)
+    # as many buckets as a bucket has documents, so neither is many; a bucket is taken whole, not at all, or (one for each length) up to a place in it.
+    buckets = F.ceil(F.sqrt(F.col("n")))
     top = F.shiftrightunsigned("draw", 33)
     dealt = sized.join(
         counts.withColumnRenamed("source", "_source").withColumnRenamed("size", "_size"),
