@@ -20,6 +20,10 @@ _SPACED = re.compile(f"[{_ODD}\t\r]|[ \n][ \n]| $|^ ")
 _PIECES = re.compile("\n| ?[^ \n]+")
 #: Words kept by one Python worker; a word and its ids take about 150 bytes.
 CACHED_WORDS = 1_000_000
+#: When that many are kept, words of up to so many characters stay: they come back most often.
+SHORT = 9
+#: Words that one text for the tokenizer joins.
+RUN = 128
 
 
 class WordIds:
@@ -56,19 +60,21 @@ class WordIds:
         if not (new := words.difference(self.cache)):
             return
         if len(self.cache) + len(new) > self.cached:
-            self.cache.clear()
-            new = words
+            short = {w: ids for w, ids in self.cache.items() if len(w) <= SHORT}
+            self.cache = short if len(short) < self.cached // 2 else {}
+            new = words.difference(self.cache)
         plain = [w for w in new if "|" not in w and w != "\n"]
         for word in new.difference(plain):
             self.cache[word] = self._pack(self._ids(word))
         size = self.width.itemsize
         for start in range(0, len(plain), 4096):
-            some = plain[start : start + 4096]
-            ids = np.asarray(self._ids(self.separator.join(some)), self.width)
-            cuts = np.flatnonzero(ids == self.mark) * size
-            packed = ids.tobytes()
-            for word, a, b in zip(some, [0, *(cuts + size).tolist()], [*cuts.tolist(), len(packed)], strict=True):
-                self.cache[word] = packed[a:b]
+            runs = [plain[i : i + RUN] for i in range(start, min(start + 4096, len(plain)), RUN)]
+            made = self.tokenizer.encode_batch_fast([self.separator.join(r) for r in runs], add_special_tokens=False)
+            for run, ids in zip(runs, (np.asarray(e.ids, self.width) for e in made), strict=True):
+                cuts = np.flatnonzero(ids == self.mark) * size
+                packed = ids.tobytes()
+                for word, a, b in zip(run, [0, *(cuts + size).tolist()], [*cuts.tolist(), len(packed)], strict=True):
+                    self.cache[word] = packed[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of `width`; null counts as empty."""
