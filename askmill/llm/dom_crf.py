@@ -268,6 +268,9 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> tuple[bytes, list[list[floa
         yield pa.RecordBatch.from_pydict({"weights": [np.asarray(weights, "<f4").tobytes()], "moves": pa.array([moves.ravel().tolist()], pa.list_(pa.float64()))})
 
     model = drawn.select("html").coalesce(1).mapInArrow(fit, "weights binary, moves array<double>").first()
+    if model is None:  # no task ran: there are no pages
+        weights, moves = fitted([])
+        return np.asarray(weights, "<f4").tobytes(), moves.tolist()
     return model.weights, np.reshape(model.moves, (3, 2)).tolist()
 
 

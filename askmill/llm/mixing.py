@@ -124,19 +124,15 @@ def mixed(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, a document taken twice as two rows; columns as in `docs`."""
-    row = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    sized = row.select("_row", "doc_id", "source", words(F.col("text")).alias("size"))
+    whole = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")), "documents")
+    sized = whole.select("_row", "doc.doc_id", "doc.source", words(F.col("doc.text")).alias("size"))
     seed = options.get("seed", SEED)
     sized = stored(sized.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
     took = _mixed(
         sized, options.get("weights", WEIGHTS), options.get("share", SHARE), options.get("most", MOST)
     )
-    times = took.where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return (
-        row.join(times, "_row")
-        .withColumn("_times", F.explode(F.sequence(F.lit(1), "_times")))
-        .drop("_row", "_times")
-    )
+    times = took.where("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return whole.join(times, "_row").withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
 
 
 def _mixed(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:

@@ -163,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[byt
         yield pa.RecordBatch.from_pydict({"model": [np.asarray(weights, "<f4").tobytes()], "slope": [slope], "shift": [shift]})
 
     model = texts.select("text", "label").coalesce(1).mapInArrow(fit, "model binary, slope double, shift double").first()
+    if model is None:  # no task ran: there are no documents
+        return np.zeros(2 * SLOTS, "<f4").tobytes(), 0.0, 0.0
     return model.model, model.slope, model.shift
 
 
