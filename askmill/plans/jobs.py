@@ -101,7 +101,9 @@ def personalised_search(
     ranked = personal_ranks(results, profile, tag_stats, hot=hot)
     ranks = ranked.select("request_id", "post_id", "score", "final_rank")
     both = placed.join(ranks, ["request_id", "post_id"], "left")
-    shown = excerpt_posts(posts, open_mark, close_mark)
+    # only posts that some list has are cut
+    some = posts.join(listed.select("post_id").distinct(), "post_id", "left_semi")
+    shown = excerpt_posts(some, open_mark, close_mark)
     return both.join(shown.select("post_id", "title", "excerpt", "has_more"), "post_id").select(
         "request_id",
         "query",

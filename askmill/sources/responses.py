@@ -9,13 +9,15 @@ from askmill.operators.posts import clean_posts
 from askmill.schemas import RESPONSE
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
+def read_responses(spark: SparkSession, path: str, *, lines: bool = True) -> DataFrame:
     """One row per post of each response, in response order; gzip files are read as they are.
 
     `initial_rank` is the 0-based place in the list. A response without posts keeps one row whose
-    post columns are null. `response_id` tells the responses of one read apart.
+    post columns are null. `response_id` tells the responses of one read apart. A file is one response,
+    however it is laid out, or one response a line (`lines`); one that is no response fails the read.
     """
-    responses = spark.read.schema(RESPONSE).json(path).select(
+    read = spark.read.schema(RESPONSE).option("mode", "FAILFAST").option("multiLine", not lines)
+    responses = read.json(path).select(
         F.monotonically_increasing_id().alias("response_id"),
         F.col("_metadata.file_path").alias("file"),
         "has_more",

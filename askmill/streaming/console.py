@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +16,6 @@ from askmill.streaming.state import LATENESS, ROCKSDB, OrderedMachine
 _EXIT = re.compile(r"\nProcess finished with exit code [0-9]+\n")
 _CATEGORY = {"ERROR_OUTPUT": "ERROR", "SYSTEM": "INFORMATION"}
 
-# A console that has been silent this long (event time) is taken to be gone, and its open run too.
-SILENCE_MS = 24 * 3600 * 1000
-
 
 class ConsoleMachine(OrderedMachine):
     row_schema = "ts_ms long, seq long, content_type string, chunk string"
@@ -28,41 +27,37 @@ class ConsoleMachine(OrderedMachine):
         super().init(handle)
         self.written = handle.getListState("written", "category string, chunk string")
 
-    def fold(self, rows: list[tuple], state: dict | None, now: int) -> tuple[list[tuple], dict]:
-        state = state or {"run": 0, "failed": False, "gone_at": None}
-        lines: list[tuple] = []
+    def fold(self, rows: list[tuple], state: dict | None, now: int) -> Iterator[tuple]:
+        """A run stays open until its exit line, however long that takes."""
+        state = state or {"run": 0, "failed": False}
         fresh: list[tuple] = []
-        for ts, _, content_type, chunk in rows:
-            state["gone_at"] = ts + SILENCE_MS
+        for _, _, content_type, chunk in rows:
             if content_type == "SYSTEM" and _EXIT.fullmatch(chunk):
-                lines += self._close_run(state, fresh)
+                if state["failed"]:
+                    yield from self._lines(state["run"], fresh)
+                self.written.clear()
                 fresh = []
+                state.update(run=state["run"] + 1, failed=False)
             elif content_type in _CATEGORY:
                 category = _CATEGORY[content_type]
                 state["failed"] = state["failed"] or category == "ERROR"
                 fresh.append((category, chunk))
         if fresh:
             self.written.appendList(fresh)
-        if state["gone_at"] is not None and now >= state["gone_at"]:
-            self.written.clear()
-            state.update(failed=False, gone_at=None)
-        return lines, state
-
-    def _close_run(self, state: dict, fresh: list[tuple]) -> list[tuple]:
-        lines = []
-        if state["failed"]:
-            texts: dict[str, list[str]] = {}
-            for category, chunk in [*map(tuple, self.written.get()), *fresh]:
-                texts.setdefault(category, []).append(chunk)
-            for category, chunks in texts.items():
-                for number, line in enumerate("".join(chunks).split("\n")):
-                    lines.append((state["run"], category, number, line))
-        self.written.clear()
-        state.update(run=state["run"] + 1, failed=False)
-        return lines
+        return state
 
-    def wake_at(self, state: dict | None) -> int | None:
-        return state["gone_at"] if state else None
+    def _lines(self, run: int, fresh: list[tuple]) -> Iterator[tuple]:
+        """Lines of the run, numbered as its chunks come; only a line still open is held."""
+        open_lines: dict[str, list] = {}
+        for category, chunk in chain(map(tuple, self.written.get()), fresh):
+            first, *others = chunk.split("\n")
+            line = open_lines.setdefault(category, [0, []])
+            line[1].append(first)
+            for text in others:
+                yield run, category, line[0], "".join(line[1])
+                line[:] = [line[0] + 1, [text]]
+        for category, (number, pieces) in open_lines.items():
+            yield run, category, number, "".join(pieces)
 
 
 def console_lines_stream(

@@ -18,25 +18,20 @@ from askmill.session import stored
 Sink = Callable[[DataFrame, int], None]
 
 
-def tag_profile_stream(interactions: DataFrame) -> DataFrame:
-    """The tag profile as a running aggregate; to be written in update mode."""
-    return tag_profile(interactions)
-
-
 def keep_profile(
     interactions: DataFrame, path: str, checkpoint: str, *, available_now: bool = False
 ) -> StreamingQuery:
-    """Keep a profile table up to date under `path`.
+    """Keep a profile table up to date under `path`, from weighted interactions.
 
-    Every micro-batch writes the rows it has changed to a folder of its own, so a repeated batch
-    overwrites what it wrote before. `latest_profile` reads the newest row of each (user, tag).
-    `available_now` stops once the data there is has been taken in.
+    Every micro-batch writes the clicks it adds to a folder of its own, so a repeated batch
+    overwrites what it wrote before. `latest_profile` adds them up. `available_now` stops once the
+    data there is has been taken in.
     """
 
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    def write(fresh: DataFrame, batch: int) -> None:
+        tag_profile(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    stream = tag_profile_stream(interactions).writeStream.outputMode("update")
+    stream = interactions.writeStream
     if available_now:
         stream = stream.trigger(availableNow=True)
     return stream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
@@ -44,7 +39,7 @@ def keep_profile(
 
 def latest_profile(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
-    return rows.groupBy("user_id", "tag").agg(F.max_by("clicks", "batch").alias("clicks"))
+    return rows.groupBy("user_id", "tag").agg(F.sum("clicks").alias("clicks"))
 
 
 def search_when_stuck(

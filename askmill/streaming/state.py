@@ -8,7 +8,7 @@ dropped by Spark. State lives in the RocksDB store and is recovered from the que
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +19,7 @@ from askmill.operators.difficulty import LOG_SCHEMA, fold_events, next_timer, ru
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = "10 minutes"
+FRAME = 10_000
 
 
 class OrderedMachine(StatefulProcessor):
@@ -30,8 +31,8 @@ class OrderedMachine(StatefulProcessor):
     row_schema: str
     order: int
 
-    def fold(self, rows: list[tuple], state: dict | None, now: int) -> tuple[list[tuple], dict]:
-        """Take in rows up to the watermark `now`; output rows and the new state."""
+    def fold(self, rows: list[tuple], state: dict | None, now: int) -> Generator[tuple, None, dict]:
+        """Take in rows up to the watermark `now`; yields output rows and returns the new state."""
         raise NotImplementedError
 
     def wake_at(self, state: dict | None) -> int | None:
@@ -59,26 +60,42 @@ class OrderedMachine(StatefulProcessor):
 
     def _advance(self, key: tuple, fresh: list[tuple], now: int) -> Iterator[pd.DataFrame]:
         kept = json.loads(self.machine.get()[0]) if self.machine.exists() else {}
-        held = [tuple(row) for row in self.waiting.get()] if kept.get("held") else []
+        first = kept.get("first")  # of the rows that wait
+        opened = first is not None and first <= now
+        held = [tuple(row) for row in self.waiting.get()] if opened else []
         ready, later = [], []
         for row in [*held, *fresh]:
             (ready if row[0] <= now else later).append(row)
-        lines, state = self.fold(
-            sorted(ready, key=lambda row: row[: self.order]), kept.get("state"), now
-        )
-        if later:
+        lines = self.fold(sorted(ready, key=lambda row: row[: self.order]), kept.get("state"), now)
+        state = yield from self._frames(key, lines)
+        if opened and later:
             self.waiting.put(later)
-        elif held:
+        elif opened:
             self.waiting.clear()
-        due = min((row[0] for row in later), default=None)
+        elif later:  # what waits stays as it is
+            self.waiting.appendList(later)
+        first = min([row[0] for row in later] + ([] if opened or first is None else [first]), default=None)
+        due = first
         wake = self.wake_at(state)
         if wake is not None and (due is None or wake < due):
             due = wake
         self._set_timer(kept.get("timer"), due, now)
-        self.machine.update((json.dumps({"state": state, "held": bool(later), "timer": due}),))
-        if lines:
-            rows = [tuple(key) + line for line in lines]
-            yield pd.DataFrame(rows, columns=self.out_columns, dtype=object)
+        self.machine.update((json.dumps({"state": state, "first": first, "timer": due}),))
+
+    def _frames(self, key: tuple, lines: Generator[tuple, None, dict]) -> Generator[pd.DataFrame, None, dict]:
+        """Frames of at most `FRAME` rows; returns what the fold returns."""
+        rows: list[tuple] = []
+        while True:
+            try:
+                line = next(lines)
+            except StopIteration as end:
+                if rows:
+                    yield pd.DataFrame(rows, columns=self.out_columns, dtype=object)
+                return end.value
+            rows.append(tuple(key) + line)
+            if len(rows) == FRAME:
+                yield pd.DataFrame(rows, columns=self.out_columns, dtype=object)
+                rows = []
 
     def _set_timer(self, old: int | None, due: int | None, now: int) -> None:
         if old is not None and old > now and old != due:
@@ -95,9 +112,11 @@ class DifficultyMachine(OrderedMachine):
     ]
     order = 2
 
-    def fold(self, rows: list[tuple], state: dict | None, now: int) -> tuple[list[tuple], dict]:
+    def fold(self, rows: list[tuple], state: dict | None, now: int) -> Generator[tuple, None, dict]:
         lines, state = fold_events(rows, state)
-        return lines + run_timers(state, now), state
+        yield from lines
+        yield from run_timers(state, now)
+        return state
 
     def wake_at(self, state: dict | None) -> int | None:
         return next_timer(state)

@@ -48,7 +48,7 @@ block("sources", "", """SELECT p_partkey file_id, 'import ' || replace(p_name, '
     || chr(10) || '// ' || p_brand || chr(10) || 'import ' || p_type || ';/* ' || p_brand || chr(10)
     || '*/ end' AS text, p_size AS size FROM part""")
 block("contexts", "sources", """SELECT conv_id || ':' || turn context_id, text, (turn % 3)::INT caret_line,
-    CASE WHEN conv_id % 2 = 1 THEN text END selected FROM conversations WHERE role = 'user'
+    CASE WHEN conv_id % 2 = 1 THEN text END selected FROM conversations
     UNION ALL SELECT 'file:' || file_id, text, (size % 4)::INT, NULL FROM sources""")
 block("context_base", "contexts", r"""SELECT *, NOT regexp_matches(coalesce(selected, ''), '[^\x00-\x20]') blank,
     CASE WHEN text = '' OR rtrim(text, chr(10)) <> ''
@@ -91,9 +91,9 @@ oracle("read_responses", "saved", """
       coalesce(array_to_string(tags, '|'), '') tags, coalesce(body, '') body, title,
       coalesce(link, 'http://www.stackoverflow.com/') link,
       coalesce(list_reduce([''] || [('[' || x || '] ') FOR x IN tags], lambda a, b: a || b), '') tag_text
-    FROM saved WHERE n % 10 > 0
+    FROM saved
     UNION ALL
-    SELECT DISTINCT n % 2 = 0, 100, (n % 100)::INT, NULL::INT, NULL::BIGINT, NULL, NULL, NULL, NULL, NULL
+    SELECT DISTINCT false, 100, (n % 100)::INT, NULL::INT, NULL::BIGINT, NULL, NULL, NULL, NULL, NULL
     FROM saved WHERE n % 10 = 0""")
 
 
@@ -212,7 +212,7 @@ block("versions", "messages", f"""SELECT run_id, category, pos, unnest(found) "m
 oracle("find_patterns", "versions", "SELECT * FROM versions")
 block("ordered_text", "messages", """SELECT run_id, string_agg(text, chr(10) ORDER BY
     list_position(['ERROR', 'WARNING', 'INFORMATION'], category), pos) AS text FROM messages GROUP BY run_id""")
-oracle("find_patterns_in_blocks", "ordered_text", f"""SELECT run_id,
+oracle("find_patterns_in_blocks", "ordered_text", f"""SELECT run_id, 0 part,
     array_to_string(regexp_extract_all(text, {VERSION}, 6), '|') versions,
     array_to_string(regexp_extract_all(text, {LANG}, 1), '|') lang,
     array_to_string(regexp_extract_all(text, {IO}, 1), '|') io FROM ordered_text""")
@@ -280,7 +280,8 @@ oracle("tag_stats", "some_tag_stats", f"SELECT {ROUNDED} FROM some_tag_stats")
 oracle("corpus_totals", "doc_tokens",
        "SELECT (SELECT count(*) FROM doc_tokens) term_count, (SELECT count(*) FROM documents) doc_count")
 oracle("term_frequency", "", r"""SELECT doc_id, term, count(*) frequency FROM (SELECT doc_id,
-    unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\b([A-Z]\w+)\b', 1)) term FROM documents) GROUP BY ALL""")
+    unnest(regexp_extract_all(text, '[\p{L}\p{Nd}_]+')) term FROM documents)
+    WHERE regexp_full_match(term, '[A-Z][A-Za-z0-9_]+') GROUP BY ALL""")
 block("exact_tokens", "", f"SELECT unnest(regexp_extract_all(text, {WORDS})) term FROM documents")
 oracle("occurrence_idf", "doc_tokens exact_tokens", """SELECT term, coalesce(c, 0) occurrences,
     CASE WHEN n // c = 0 THEN '-inf'::DOUBLE ELSE round(ln((n // c)::DOUBLE), 6) END idf
@@ -309,14 +310,11 @@ block("selection", "numbered", """
         WHEN 'remove' THEN list_filter(held, lambda x: x <> tags) ELSE held END,
       a."action" = 'add' AND NOT list_contains(held, tags)
     FROM selection s JOIN numbered a ON a.user_id = s.user_id AND a.rn = s.rn + 1""")
-oracle("tag_profile_from_actions", "selection", """SELECT user_id, tag, sum(w)::BIGINT clicks FROM (
+for name in ("tag_profile_from_actions", "tag_profile_stream"):
+    oracle(name, "selection", """SELECT user_id, tag, sum(w)::BIGINT clicks FROM (
     SELECT user_id, unnest(string_split(tags, ',')) tag,
       CASE WHEN counted THEN 2 WHEN "action" = 'expand' THEN 1 WHEN "action" = 'browser' THEN 3 ELSE 0 END w
     FROM numbered JOIN selection USING (user_id, rn)) WHERE w > 0 GROUP BY ALL""")
-oracle("tag_profile_stream", "actions", """SELECT user_id, tag, sum(w)::BIGINT clicks FROM (
-    SELECT user_id, unnest(string_split(tags, ',')) tag,
-      CASE "action" WHEN 'add' THEN 2 WHEN 'expand' THEN 1 WHEN 'browser' THEN 3 ELSE 0 END w
-    FROM actions) WHERE w > 0 GROUP BY ALL""")
 block("console", "", """SELECT user_id console_id, user_id, event_id seq,
     CASE WHEN event_type IN ('purchase', 'view') THEN 'SYSTEM' WHEN event_type = 'error' THEN 'ERROR_OUTPUT' ELSE 'NORMAL' END content_type,
     CASE event_type WHEN 'purchase' THEN chr(10) || 'Process finished with exit code 1' || chr(10)
@@ -341,7 +339,8 @@ def run_blocks(prefix: str, console: str) -> str:
 oracle("console_runs", run_blocks("r_", "console"), "SELECT console_id, run, category, 0 part, text FROM r_texts")
 oracle("runtime_error_stream", "r_texts", """SELECT console_id, run, category, unnest(lines) AS text,
     generate_subscripts(lines, 1) - 1 line_no FROM (SELECT *, string_split(text, chr(10)) lines FROM r_texts)""")
-oracle("group_messages", "messages", """SELECT run_id, (pos // 3)::INT part,
+for name, size in (("group_messages", 10_000), ("group_messages_in_parts", 3)):
+    oracle(name, "messages", f"""SELECT run_id, (pos // {size})::INT part,
     coalesce(string_agg(text, '|' ORDER BY pos) FILTER (category = 'ERROR'), '') errors,
     coalesce(string_agg(text, '|' ORDER BY pos) FILTER (category = 'WARNING'), '') warnings,
     coalesce(string_agg(text, '|' ORDER BY pos) FILTER (category = 'INFORMATION'), '') informations

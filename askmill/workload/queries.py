@@ -28,6 +28,7 @@ from askmill.sources import stats_xml
 from askmill.sources import telemetry as tl
 from askmill.streaming import sinks
 from askmill.streaming.console import console_lines_stream
+from askmill.streaming.profile import effective_interactions_stream
 from askmill.streaming.state import detect_difficulty_stream as _difficulty_stream
 from askmill.workload.tables import Tables
 
@@ -104,7 +105,7 @@ def read_tag_stats(t: Tables) -> DataFrame:
 
 @query
 def read_responses(t: Tables) -> DataFrame:
-    """Parts as saved responses of up to 20 posts; the responses of every tenth are empty."""
+    """Parts as saved responses of up to 20 posts, and an empty response beside every tenth."""
     path = shared_folder(t.spark, "responses")
     parts = t.part_posts().select(
         F.col("post_id").alias("question_id"), "tags", "body", "title", "link"
@@ -114,10 +115,11 @@ def read_responses(t: Tables) -> DataFrame:
             "items"
         )
     )
-    empty = F.col("n") % 10 == 0
+    empty = listed.where(F.col("n") % 10 == 0).withColumn("items", F.filter("items", lambda _: F.lit(False)))
+    listed = listed.withColumn("more", F.col("n") % 2 == 0).unionByName(empty.withColumn("more", F.lit(False)))
     response = listed.select(
-        F.when(~empty, F.col("items")).otherwise(F.array()).alias("items"),
-        (F.col("n") % 2 == 0).alias("has_more"),
+        "items",
+        F.col("more").alias("has_more"),
         F.lit(100).alias("quota_max"),
         (F.col("n") % 100).cast("int").alias("quota_remaining"),
     )
@@ -262,7 +264,7 @@ def find_patterns_in_blocks(t: Tables) -> DataFrame:
     texts = F.concat("errors", "warnings", "informations")
     names = {"versions": (tx.JAVA_VERSION, 6), "lang": (tx.JAVA_LANG_EXCEPTION, 1), "io": (tx.JAVA_IO_EXCEPTION, 1)}
     found = {n: F.array_join(tx.find_patterns(texts, p, g), "|") for n, (p, g) in names.items()}
-    return blocks.select("run_id", *[value.alias(name) for name, value in found.items()])
+    return blocks.select("run_id", "part", *[value.alias(name) for name, value in found.items()])
 
 
 @query
@@ -322,10 +324,9 @@ def corpus_totals(t: Tables) -> DataFrame:
 
 @query
 def term_frequency(t: Tables) -> DataFrame:
-    """Capitalised words of every document; accented letters are left out beforehand."""
-    ascii_only = F.regexp_replace("text", r"[^\x00-\x7F]", "")
-    docs = t.corpus().withColumn("text", ascii_only)
-    return cp.term_frequency(docs, tx.CAPITALISED)
+    """Words of every document that are a capital and plain letters, digits or underscores."""
+    counts = cp.term_frequency(t.corpus(), f"({tx.WORD_RUN})")
+    return counts.where(F.col("term").rlike("^[A-Z][A-Za-z0-9_]+$"))
 
 
 @query
@@ -356,6 +357,11 @@ def console_runs(t: Tables) -> DataFrame:
 
 @query
 def group_messages(t: Tables) -> DataFrame:
+    return _joined(er.group_messages(t.compiler_messages()), "errors", "warnings", "informations")
+
+
+@query
+def group_messages_in_parts(t: Tables) -> DataFrame:
     return _joined(er.group_messages(t.compiler_messages(), 3), "errors", "warnings", "informations")
 
 
@@ -550,9 +556,7 @@ def runtime_error_stream(t: Tables) -> DataFrame:
 @query
 def tag_profile_stream(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "profile")
-    weighted = _streamed(t, "actions").select(
-        "user_id", F.split("tags", ",").alias("tags"), pe.interaction_weight(F.col("action")).alias("weight")
-    )
+    weighted = effective_interactions_stream(_streamed(t, "actions"), "0 seconds")
     running = sinks.keep_profile(weighted, path, f"{path}-state", available_now=True)
     running.awaitTermination()
     return sinks.latest_profile(t.spark, path)

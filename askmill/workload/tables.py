@@ -40,7 +40,7 @@ class Tables:
         )
 
     def contexts(self) -> DataFrame:
-        talk = self.read("conversations").where(F.col("role") == "user")
+        talk = self.read("conversations")
         spoken = talk.select(
             F.concat_ws(":", "conv_id", "turn").alias("context_id"),
             "text",
@@ -304,6 +304,7 @@ class Tables:
         pair = F.concat(F.lit("t0,t"), (number % 2 + 1).cast("string"))
         return self.events().select(
             "user_id",
+            "ts",
             number.alias("seq"),
             action.alias("action"),
             F.when(kind.isin("click", "error"), picked).otherwise(pair).alias("tags"),

@@ -13,6 +13,7 @@ from askmill.sources import streams
 from askmill.sources import telemetry as tl
 from askmill.streaming import sinks
 from askmill.streaming.console import console_lines_stream
+from askmill.streaming.profile import effective_interactions_stream
 from askmill.streaming.state import detect_difficulty_stream
 from askmill.workload.tables import Tables
 
@@ -97,6 +98,44 @@ def test_console_stream_equals_batch(spark, tables, tmp_path):
     assert batch.count() > 50
 
 
+def test_console_stream_over_long_gaps(spark, tmp_path):
+    """An exit line days later closes the run, in one micro-batch or in many."""
+    schema = "console_id long, user_id long, ts long, seq long, content_type string, chunk string"
+    day = 86_400
+    rows = [
+        (1, 1, 0, 0, "ERROR_OUTPUT", "first\nsecond "),
+        (2, 2, day, 1, "ERROR_OUTPUT", "other"),
+        (2, 2, 2 * day, 2, "SYSTEM", "plain"),
+        (1, 1, 3 * day, 3, "ERROR_OUTPUT", "half"),
+        (1, 1, 4 * day, 4, "SYSTEM", "\nProcess finished with exit code 1\n"),
+        (2, 2, 9 * day, 5, "SYSTEM", "\nProcess finished with exit code 0\n"),
+    ]
+    console = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("ts") + day))
+    batch = sorted(map(str, er.console_lines(console).collect()))
+    assert len(batch) == 4
+    for files in (1, 6):
+        source, out, checkpoint = (str(tmp_path / f"{n}{files}") for n in ("in", "out", "state"))
+        if files == 1:
+            console.coalesce(1).write.parquet(source)
+        else:
+            in_order(console, source, files)
+        run(console_lines_stream(streams.console_stream(spark, source, files_per_trigger=1), None, "0 seconds"), out, checkpoint)
+        found = spark.read.parquet(out).select(er.console_lines(console).columns)
+        assert sorted(map(str, found.collect())) == batch
+
+
+def test_selection_stream_equals_batch(spark, tables, tmp_path):
+    actions = tables.actions().select("user_id", "ts", "seq", "action", "tags")
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "profile", "state"))
+    in_order(actions, source, 3)
+    stream = spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    weighted = effective_interactions_stream(stream, "0 seconds")
+    sinks.keep_profile(weighted, path, checkpoint, available_now=True).awaitTermination()
+    batch = pe.tag_profile(pe.effective_interactions(actions)).collect()
+    assert {tuple(r) for r in sinks.latest_profile(spark, path).collect()} == {tuple(r) for r in batch}
+    assert len(batch) > 40
+
+
 def test_profile_stream_equals_batch(spark, tmp_path):
     source, table, checkpoint = (str(tmp_path / n) for n in ("in", "profile", "state"))
     schema = "user_id long, tags array<string>, weight int"
