@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def _checkpoint_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    A local session that names none gets a temporary one; on a cluster that would not survive an
-    executor, so it is refused.
+    A session within one process that names none gets a temporary one; where executors are processes
+    of their own that would not survive one, so it is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[|$)", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="askmill-checkpoint-")
         context.setCheckpointDir(folder)

@@ -65,7 +65,8 @@ def console_lines_stream(
 ) -> DataFrame:
     """Lines of each console run with an error, once it has ended: the stream form of console_lines.
 
-    Chunks are ordered by (ts, seq). With `settings`, users who have runtime errors off are left out.
+    Chunks are ordered by (ts, seq), and a run stays in state until its exit line. Sets the session's
+    state store to RocksDB. With `settings`, users who have runtime errors off are left out.
     """
     console.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     allowed = console if settings is None else settings_gate(console, settings, "runtime_error")

@@ -8,7 +8,7 @@ dropped by Spark. State lives in the RocksDB store and is recovered from the que
 from __future__ import annotations
 
 import json
-from collections.abc import Generator, Iterator
+from collections.abc import Generator, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -107,11 +107,13 @@ class OrderedMachine(StatefulProcessor):
 class DifficultyMachine(OrderedMachine):
     row_schema = "ts_ms long, event_id long, kind string"
     columns = ["ts_ms", "event_id", "kind"]
-    out_columns = [
-        "user_id", "ts_ms", "event_id", "event", "state", "scroll", "click", "insert", "delete",
-    ]
     order = 2
 
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.out_columns = [
+            *keys, "ts_ms", "event_id", "event", "state", "scroll", "click", "insert", "delete",
+        ]
+
     def fold(self, rows: list[tuple], state: dict | None, now: int) -> Generator[tuple, None, dict]:
         lines, state = fold_events(rows, state)
         yield from lines
@@ -122,13 +124,20 @@ class DifficultyMachine(OrderedMachine):
         return next_timer(state)
 
 
-def detect_difficulty_stream(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """The log of the difficulty machine as a stream, timers included as they fall due."""
+def detect_difficulty_stream(
+    events: DataFrame, lateness: str = LATENESS, keys: Sequence[str] = ("user_id",)
+) -> DataFrame:
+    """The log of the difficulty machine as a stream, timers included as they fall due.
+
+    There is one machine for each value of `keys`, such as user and project. Sets the session's state
+    store to RocksDB.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = events.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    log = rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=DifficultyMachine(),
-        outputStructType=f"user_id long, {LOG_SCHEMA}",
+    kinds = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+    log = rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=DifficultyMachine(keys),
+        outputStructType=f"{kinds}, {LOG_SCHEMA}",
         outputMode="append",
         timeMode="eventtime",
     )

@@ -130,7 +130,8 @@ def gate(flag: str, settings: str = "settings") -> str:
 
 oracle("write_telemetry", "query_events settings", f"""SELECT user_id::VARCHAR "User", '-941403937' ProjectCode,
     'test' Environment, QueryEventType, Tags, sort, Visible FROM query_events WHERE {gate('logging')}""")
-oracle("read_log_batches", "query_events", """SELECT user_id::VARCHAR "User", QueryEventType, sort, count(*) events,
+for name in ("read_log_batches", "log_batch_stream"):
+    oracle(name, "query_events", """SELECT user_id::VARCHAR "User", QueryEventType, sort, count(*) events,
     sum(CASE WHEN Tags IS NULL THEN NULL ELSE n_tags END)::BIGINT tags FROM query_events GROUP BY ALL""")
 
 block("messages_raw", "", """SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') run_id, user_id, event_id, event_type,
@@ -323,6 +324,9 @@ block("console", "", """SELECT user_id console_id, user_id, event_id seq,
       ELSE 'java 1.' || (event_id % 9 + 1) END chunk FROM events""")
 
 
+oracle("console_stream", "console", "SELECT console_id, user_id, seq, content_type, chunk FROM console")
+
+
 def run_blocks(prefix: str, console: str) -> str:
     """Blocks for the texts of finished failed runs; the last one is `<prefix>texts`."""
     block(f"{prefix}chunks", console, rf"""SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY console_id ORDER BY seq

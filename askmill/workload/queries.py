@@ -24,7 +24,7 @@ from askmill.operators import telemetry as te
 from askmill.plans import jobs
 from askmill.session import shared_folder, stored
 from askmill.sources import responses as rs
-from askmill.sources import stats_xml
+from askmill.sources import stats_xml, streams
 from askmill.sources import telemetry as tl
 from askmill.streaming import sinks
 from askmill.streaming.console import console_lines_stream
@@ -142,8 +142,7 @@ def write_telemetry(t: Tables) -> DataFrame:
     return _joined(lines.select(*kept).withColumn("Tags", F.col("Tags").cast("array<string>")), "Tags")
 
 
-@query
-def read_log_batches(t: Tables) -> DataFrame:
+def _envelopes(t: Tables) -> str:
     """Telemetry lines shipped in envelopes, 50 sequence numbers of a user in each."""
     path = shared_folder(t.spark, "envelopes")
     events = te.query_events(t.searches()).withColumn("nth", F.col("seq"))
@@ -155,11 +154,32 @@ def read_log_batches(t: Tables) -> DataFrame:
     ).agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
     body = F.array_join(F.transform("lines", lambda e: e["line"]), ", ")
     shipped.select(F.concat(F.lit('{"Logs": ['), body, F.lit("]}")).alias("value")).write.text(path)
-    read = tl.read_log_batches(t.spark, path)
-    counted = read.groupBy("User", "QueryEventType", "sort").agg(
+    return path
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("User", "QueryEventType", "sort").agg(
         F.count(F.lit(1)).alias("events"), F.sum(F.size("Tags")).alias("tags")
     )
-    return counted
+
+
+@query
+def read_log_batches(t: Tables) -> DataFrame:
+    return _counted(tl.read_log_batches(t.spark, _envelopes(t)))
+
+
+@query
+def log_batch_stream(t: Tables) -> DataFrame:
+    return _counted(_drained(t, tl.log_batch_stream(t.spark, _envelopes(t))))
+
+
+@query
+def console_stream(t: Tables) -> DataFrame:
+    """The console's chunks through the reader of its stream."""
+    console = t.console().select("console_id", "user_id", "ts", "seq", "content_type", "chunk")
+    path = shared_folder(t.spark, "console")
+    console.write.parquet(path)
+    return _drained(t, streams.console_stream(t.spark, path, files_per_trigger=1)).drop("ts")
 
 
 @query

@@ -65,6 +65,21 @@ def test_difficulty_stream_with_a_restart_equals_batch(spark, tables, tmp_path):
     assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
 
 
+def test_two_projects_of_a_user_have_a_machine_each(spark, tables, tmp_path):
+    keys = ["user_id", "project"]
+    project = F.concat(F.lit("p"), F.col("event_id") % 2)
+    events = tables.editor_events().withColumns({"project": project, "text": F.lit("")})
+    events = events.select("user_id", "project", "event_id", "ts", "kind", "text")
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    in_order(events, source, 2)
+    run(detect_difficulty_stream(streams.editor_event_stream(spark, source, files_per_trigger=1), "0 seconds", keys), out, checkpoint)
+    batch = di.detect_difficulty(events, keys)
+    last = events.groupBy(*keys).agg(F.max(F.unix_millis("ts")).alias("last"))
+    found = spark.read.parquet(out).join(last, keys).where(F.unix_millis("ts") <= F.col("last")).select(batch.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect()))
+    assert found.select("project").distinct().count() == 2
+
+
 def test_late_events_are_dropped(spark, tables, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "user_id long, project string, event_id long, ts timestamp, kind string, text string"
