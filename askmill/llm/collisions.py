@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askmill.llm.frames import stored
 from askmill.llm.graph import components
@@ -239,26 +240,34 @@ def usable(vector: Column) -> Column:
 def verified(pairs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, cosine of the pairs that reach the threshold."""
 
+    kind = "<f4" if isinstance(nodes.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.asarray(v, kind).tobytes() for v in batch["embedding"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(raw, pa.binary())], names=["node", "raw"])
+
     @F.pandas_udf("double")
     def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
         out = np.full(len(x), -2.0)
         size = x.map(len).to_numpy()
         same = size == y.map(len).to_numpy()
-        for dimension in np.unique(size[same]).tolist():
-            at = np.flatnonzero(same & (size == dimension))
-            a, b = (np.stack(v.to_numpy()[at]).astype(float) for v in (x, y))
+        for length in np.unique(size[same]).tolist():
+            at = np.flatnonzero(same & (size == length))
+            a, b = (np.frombuffer(b"".join(v.to_numpy()[at]), kind).reshape(len(at), -1).astype(float) for v in (x, y))
             a, b = (v / np.abs(v).max(axis=1, keepdims=True) for v in (a, b))
             out[at] = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
         return pd.Series(out)
 
-    own = nodes.select("node", "embedding")
+    own = nodes.select("node", "embedding").mapInArrow(packed, "node bigint, raw binary")
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     return both.select("a", "b", cosine("x", "y").alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors(vec_id, embedding)."""
-    vector = F.col("embedding").cast("array<double>")
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"))
     rows = stored(
         rows.withColumn("fit", usable(F.col("embedding")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +14,35 @@ from askmill.llm.frames import stored
 ROUNDS = 60
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the least node that these links connect each with: a link for each node at most."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[one], root[two])
+        before = root.copy()
+        for end in (one, two):
+            np.minimum.at(root, before[end], least)
+            np.minimum.at(root, end, least)
+        root = root[root]
+        if (root == before).all():
+            break
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, v = forest(batch["u"].to_numpy(), batch["v"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, root for every node with a link; root is the smallest node that can be reached.
 
+    Nodes are numbers. Every batch of links is first reduced to a link for each of its nodes at most.
+
     Large-star and small-star rounds: first every node sends its larger neighbours to its smallest one,
     then every node its smaller ones. Links only ever move to smaller nodes, and after a number of rounds
     that grows with the logarithm of the longest path all point at their roots. A node's neighbours are
@@ -21,7 +51,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     the driver sees their row counts and checksums.
     """
     high, low = F.greatest(a, b), F.least(a, b)
-    edges = stored(links.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct(), "links")
+    given = links.where(F.col(a) != F.col(b)).select(high.cast("long").alias("u"), low.cast("long").alias("v"))
+    edges = stored(given.mapInArrow(_forests, "u bigint, v bigint").distinct(), "links")
     mark = None
     for _ in range(ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from askmill.llm import collisions, dom, hilbert, imatch, mixing, packing, simhash, token_files
-from askmill.llm.graph import components
+from askmill.llm.graph import components, forest
 from askmill.llm.wordhash import all_word_hashes, word_hashes
 
 SMALL = "/root/testdata/sf0.01"
@@ -218,3 +218,14 @@ def test_pipeline_stages_keep_their_promises(spark):
     for r in packed.collect():
         whole[r.doc_id] += r.length / r.doc_tokens
     assert {k: round(v) for k, v in whole.items()} == dict(times)
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        a, b = rng.integers(0, 60, (2, rng.integers(1, 80)))
+        nodes, roots = forest(a, b)
+        assert len(nodes) == len(set(nodes.tolist()))
+        want = groups(60, zip(a.tolist(), b.tolist(), strict=True))
+        got = groups(60, zip(nodes.tolist(), roots.tolist(), strict=True))
+        assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
