@@ -12,7 +12,7 @@ from askmill.operators.editor import classify_editor_events, settings_gate
 from askmill.operators.personal import personal_ranks
 from askmill.operators.posts import SORT_WORDS, excerpt_posts
 from askmill.operators.requests import normalise_requests
-from askmill.operators.search import search_with_backoff
+from askmill.operators.search import Index, search_with_backoff
 from askmill.plans.ordered import hot_keys, row_number
 from askmill.session import stored
 
@@ -61,15 +61,14 @@ def _sort_key(sort: Column) -> Column:
         F.when(name == "votes", F.col("votes").cast("double"))
         .when(name == "creation", F.unix_micros("created").cast("double"))
         .when(name == "activity", F.unix_micros("active").cast("double"))
-        .otherwise(F.col("relevance"))
+        .otherwise(F.round("relevance", 9))
     )
 
 
 def personalised_search(
     requests: DataFrame,
     posts: DataFrame,
-    index: DataFrame,
-    stats: DataFrame,
+    index: Index,
     profile: DataFrame,
     tag_stats: DataFrame,
     *,
@@ -79,13 +78,13 @@ def personalised_search(
     """Ranked, excerpted results of every request.
 
     Requests have request_id, user_id, q, tags, sort and backoff (automatic requests back off). Posts
-    have post_id, title, body, tags, votes, created, active; `index` is their stored `index_posts`.
+    have post_id, title, body, tags, votes, created, active; `index` is their `index_posts`.
     A request sorted by relevance is re-ranked by its user's tag profile; any other keeps its order.
     Ranks are found on narrow rows; excerpts are cut in the posts' own rows and join last, so bodies
     never travel.
     """
     ready = normalise_requests(requests).withColumn("q", F.col("clean_q"))
-    found = search_with_backoff(ready, index, stats).where(F.col("post_id").isNotNull())
+    found = search_with_backoff(ready, index).where(F.col("post_id").isNotNull())
     facts = posts.select("post_id", "tags", "votes", "created", "active")
     asked = ready.select("request_id", "user_id", "sort")
     # written once: every rank below reads it
@@ -124,7 +123,7 @@ def difficulty_to_search(
     settings: DataFrame,
     visible: DataFrame,
     posts: DataFrame,
-    index: DataFrame,
+    index: Index,
     stats: DataFrame,
     doc_count: Column,
     profile: DataFrame,
@@ -139,7 +138,7 @@ def difficulty_to_search(
     triggers = di.difficulty_triggers(di.detect_difficulty(events))
     stuck = di.difficulty_queries(triggers, contexts, settings, visible)
     requests = stored(trigger_requests(stuck, stats, doc_count), "requests")
-    return personalised_search(requests, posts, index, stats, profile, tag_stats, **marks)
+    return personalised_search(requests, posts, index, profile, tag_stats, **marks)
 
 
 def trigger_requests(stuck: DataFrame, stats: DataFrame, doc_count: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from askmill.operators import errors as er
 from askmill.operators.difficulty import difficulty_queries, difficulty_triggers
 from askmill.operators.personal import tag_profile
-from askmill.operators.search import error_search
+from askmill.operators.search import Index, error_search
 from askmill.plans.jobs import personalised_search, trigger_requests
 from askmill.session import stored
 
@@ -48,7 +48,7 @@ def search_when_stuck(
     settings: DataFrame,
     visible: DataFrame,
     posts: DataFrame,
-    index: DataFrame,
+    index: Index,
     stats: DataFrame,
     doc_count: Column,
     profile: DataFrame,
@@ -64,14 +64,14 @@ def search_when_stuck(
         triggers = difficulty_triggers(lines)
         stuck = difficulty_queries(triggers, contexts, settings, visible)
         requests = stored(trigger_requests(stuck, stats, doc_count), "requests")
-        sink(personalised_search(requests, posts, index, stats, profile, tag_stats, **marks), batch)
+        sink(personalised_search(requests, posts, index, profile, tag_stats, **marks), batch)
 
     return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(search).start()
 
 
 def search_runtime_errors(
     lines: DataFrame,
-    index: DataFrame,
+    index: Index,
     stats: DataFrame,
     sink: Sink,
     checkpoint: str,
@@ -90,6 +90,6 @@ def search_runtime_errors(
             "text",
         )
         queries = er.error_queries(messages, stats, er.RUNTIME, **options)
-        sink(error_search(queries, index, stats), batch)
+        sink(error_search(queries, index), batch)
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(search).start()

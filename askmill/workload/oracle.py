@@ -390,30 +390,37 @@ oracle("final_rank", "l_final", """SELECT request_id, user_id, post_id, position
     weighted_rank, final_rank FROM l_final""")
 
 block("posts", "", f"""SELECT doc_id post_id, 'doc ' || doc_id title, text body, [lang, source] tags, (doc_id % 10)::INT votes,
-    doc_id created, doc_id * 7 % 1000 active, list_distinct(regexp_extract_all(lower('doc ' || doc_id || chr(10) || text),
-    {WORDS})) post_terms FROM documents""")
-block("postings", "posts", "SELECT post_id, tags post_tags, unnest(post_terms) term FROM posts")
+    doc_id created, doc_id * 7 % 1000 active, regexp_extract_all(lower('doc ' || doc_id || chr(10) || text),
+    {WORDS}) post_terms FROM documents""")
+
+
+def index_blocks(prefix: str, posts: str) -> None:
+    """Blocks `<prefix>postings` with counts, and `<prefix>terms` with idf."""
+    block(f"{prefix}postings", posts, f"""SELECT post_id, any_value(tags) post_tags, term, count(*) tf
+        FROM (SELECT post_id, tags, unnest(post_terms) term FROM {posts}) GROUP BY post_id, term""")
+    block(f"{prefix}terms", f"{prefix}postings", f"""SELECT term, ln((SELECT count(*) FROM {posts})::DOUBLE / count(*)) idf
+        FROM {prefix}postings GROUP BY term""")
+
+
+index_blocks("doc_", "posts")
 
 
 def match_blocks(prefix: str, queries: str, posts: str, postings: str, stats: str) -> str:
     """Blocks for the matches of (request_id, step, q, tags); the last one is `<prefix>matches`."""
     words = f"list_distinct(regexp_extract_all(lower(replace(replace(q, '{{', ''), '}}', '')), {WORDS}))"
     block(f"{prefix}asked", queries, f"SELECT request_id, step, tags, {words} terms FROM {queries}")
-    block(f"{prefix}worth", f"{prefix}asked {stats}", f"""SELECT request_id, step, coalesce(sum(idf), 0) relevance
-        FROM (SELECT request_id, step, unnest(terms) term FROM {prefix}asked) LEFT JOIN {stats} USING (term) GROUP BY ALL""")
-    block(f"{prefix}matches", f"{prefix}worth {posts} {postings}", f"""
-        SELECT request_id, step, post_id, relevance FROM (
-          SELECT a.request_id, a.step, p.post_id FROM (SELECT *, unnest(terms) term FROM {prefix}asked) a
-          JOIN {postings} p ON p.term = a.term AND list_has_all(p.post_tags, a.tags)
-          GROUP BY a.request_id, a.step, p.post_id, len(a.terms) HAVING count(*) = len(a.terms))
-        JOIN {prefix}worth USING (request_id, step)
+    block(f"{prefix}matches", f"{prefix}asked {posts} {postings} {stats}", f"""
+        SELECT a.request_id, a.step, p.post_id, sum((1 + ln(p.tf)) * s.idf) relevance
+        FROM (SELECT *, unnest(terms) term FROM {prefix}asked) a
+        JOIN {postings} p ON p.term = a.term AND list_has_all(p.post_tags, a.tags) JOIN {stats} s ON s.term = a.term
+        GROUP BY a.request_id, a.step, p.post_id, len(a.terms) HAVING count(*) = len(a.terms)
         UNION ALL SELECT request_id, step, post_id, 0 FROM {prefix}asked a JOIN {posts} p ON list_has_all(p.tags, a.tags)
         WHERE a.terms = [] AND a.tags <> []""")
     return f"{prefix}matches"
 
 
 block("whole", "ready", "SELECT request_id, 0 step, clean_q q, tags FROM ready")
-oracle("match_posts", match_blocks("m_", "whole", "posts", "postings", "doc_stats"),
+oracle("match_posts", match_blocks("m_", "whole", "posts", "doc_postings", "doc_terms"),
        "SELECT request_id, post_id, round(relevance, 6) relevance FROM m_matches")
 block("name_words", "", """SELECT p_partkey, unnest(ws) word, generate_subscripts(ws, 1) i FROM (SELECT p_partkey,
     string_split(lower(p_type || ' ' || p_name || ' ' || p_brand || ' ' || p_name), ' ') ws FROM part)""")
@@ -436,13 +443,13 @@ def backoff_blocks(prefix: str, requests: str, posts: str, postings: str, stats:
 
 
 block("all_backing", "ready", "SELECT request_id, clean_q q, tags, TRUE backoff FROM ready")
-oracle("search_with_backoff", backoff_blocks("b_", "all_backing", "posts", "postings", "doc_stats"),
+oracle("search_with_backoff", backoff_blocks("b_", "all_backing", "posts", "doc_postings", "doc_terms"),
        "SELECT request_id, query, post_id, round(relevance, 6) relevance FROM b_found")
 block("error_lines", "ready", r"""SELECT request_id, clean_q q, []::VARCHAR[] tags, 0 step, string_split_regex(
     trim(replace(replace(clean_q, '{', ''), '}', ''), ' '), '\s')[-1] last_word FROM ready""")
-match_blocks("e_", "error_lines", "posts", "postings", "doc_stats")
+match_blocks("e_", "error_lines", "posts", "doc_postings", "doc_terms")
 block("error_words", "error_lines", "SELECT request_id, last_word q, tags, 0 step FROM error_lines")
-match_blocks("f_", "error_words", "posts", "postings", "doc_stats")
+match_blocks("f_", "error_words", "posts", "doc_postings", "doc_terms")
 oracle("error_search", "e_matches f_matches", """
     SELECT request_id run_id, q query, post_id, round(relevance, 6) relevance FROM error_lines JOIN e_matches USING (request_id)
     UNION ALL SELECT request_id, last_word, post_id, round(relevance, 6) FROM error_lines LEFT JOIN f_matches USING (request_id)
@@ -624,7 +631,7 @@ def search_blocks(prefix: str, requests: str, posts: str, postings: str, stats:
     backoff_blocks(prefix, f"{prefix}requests", posts, postings, stats)
     block(f"{prefix}listed", f"{prefix}found {requests} {posts}", f"""SELECT f.request_id, f.query, f.post_id, r.user_id, r.sort, p.tags, p.title,
         row_number() OVER (PARTITION BY f.request_id ORDER BY CASE r.sort WHEN 'votes' THEN p.votes WHEN 'newest' THEN p.created
-          WHEN 'active' THEN p.active ELSE f.relevance END DESC, f.post_id) - 1 position
+          WHEN 'active' THEN p.active ELSE round(f.relevance, 9) END DESC, f.post_id) - 1 position
         FROM {prefix}found f JOIN {requests} r USING (request_id) JOIN {posts} p USING (post_id)""")
     block(f"{prefix}personal", f"{prefix}listed",
           f"SELECT request_id, user_id, post_id, position, tags FROM {prefix}listed WHERE sort = 'relevance'")
@@ -640,7 +647,7 @@ def search_blocks(prefix: str, requests: str, posts: str, postings: str, stats:
 
 block("x_requests", "ready", "SELECT request_id, clean_q q, tags, backoff FROM ready")
 oracle("personalised_search",
-       search_blocks("x_", "ready", "posts", "postings", "doc_stats", "doc_profile", "doc_tag_stats", ("the", "and")),
+       search_blocks("x_", "ready", "posts", "doc_postings", "doc_terms", "doc_profile", "doc_tag_stats", ("the", "and")),
        "SELECT * FROM x_ranked")
 
 block("y_in", "classified", "SELECT user_id, event_id, ts, kind FROM classified")
@@ -661,8 +668,8 @@ block("z_ready", "z_queries", """SELECT context_id request_id, string_split(cont
     'relevance' sort FROM z_queries WHERE query <> ''""")
 block("v_requests", "z_ready", "SELECT request_id, q, []::VARCHAR[] tags, TRUE backoff FROM z_ready")
 block("part_posts", "parts", f"""SELECT post_id, title, coalesce(body, '') body, coalesce(tags, []::VARCHAR[]) tags, votes, created, active,
-    list_distinct(regexp_extract_all(lower(title || chr(10) || coalesce(body, '')), {WORDS})) post_terms FROM parts""")
-block("part_postings", "part_posts", "SELECT post_id, tags post_tags, unnest(post_terms) term FROM part_posts")
+    regexp_extract_all(lower(title || chr(10) || coalesce(body, '')), {WORDS}) post_terms FROM parts""")
+index_blocks("part_", "part_posts")
 oracle("difficulty_to_search",
-       search_blocks("v_", "z_ready", "part_posts", "part_postings", "name_stats", "part_profile", "tag_stats", ("<pre>", "</pre>")),
+       search_blocks("v_", "z_ready", "part_posts", "part_postings", "part_terms", "part_profile", "tag_stats", ("<pre>", "</pre>")),
        "SELECT * FROM v_ranked")

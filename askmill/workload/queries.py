@@ -430,11 +430,9 @@ def score_posts_for_user(t: Tables) -> DataFrame:
     return _rounded(pe.score_posts_for_user(*_personal(t)), "score")
 
 
-def _search_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    posts = t.document_posts()
-    stats = cp.term_stats(posts, "body")
+def _search_inputs(t: Tables) -> tuple[DataFrame, se.Index]:
     requests = rq.normalise_requests(t.requests()).withColumn("q", F.col("clean_q"))
-    return requests.drop("backoff"), stored(se.index_posts(posts), "index"), stored(stats, "stats")
+    return requests.drop("backoff"), se.index_posts(t.document_posts())
 
 
 @query
@@ -455,15 +453,15 @@ def search_with_backoff(t: Tables) -> DataFrame:
     return _rounded(se.search_with_backoff(*_search_inputs(t)), "relevance")
 
 
-def _error_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _error_inputs(t: Tables) -> tuple[DataFrame, se.Index]:
     """Errors whose first line is a sentence, and whose keywords are the sentence's last word."""
-    requests, index, stats = _search_inputs(t)
+    requests, index = _search_inputs(t)
     errors = requests.select(
         F.col("request_id").alias("run_id"),
         F.col("q").alias("first_line"),
         F.element_at(F.split(F.trim(F.translate("q", "{}", "")), r"\s"), -1).alias("keywords"),
     )
-    return errors, index, stats
+    return errors, index
 
 
 @query
@@ -659,8 +657,7 @@ def personalised_search(t: Tables) -> DataFrame:
     found = jobs.personalised_search(
         t.requests(),
         posts,
-        stored(se.index_posts(posts), "index"),
-        stored(cp.term_stats(posts, "body"), "stats"),
+        se.index_posts(posts),
         stored(profile, "profile"),
         tags,
         open_mark="the",
@@ -678,7 +675,7 @@ def difficulty_to_search(t: Tables) -> DataFrame:
         t.generous_settings(),
         t.visible(),
         posts,
-        stored(se.index_posts(posts), "index"),
+        se.index_posts(posts),
         stored(_part_stats(t), "stats"),
         t.read("part").select(F.count(F.lit(1))).scalar(),
         stored(pe.tag_profile(t.clicks_on_parts()), "profile"),

@@ -167,7 +167,7 @@ def test_searches_from_streams(spark, tables, tmp_path):
         [(1, "IllegalStateException", "runtime error IllegalStateException java 5", [], 1, None, None), (2, "ring", "red ring", ["t"], 2, None, None)],
         "post_id int, title string, body string, tags array<string>, votes int, created timestamp, active timestamp",
     )
-    stats, index = cp.term_stats(posts, "body").cache(), se.index_posts(posts).cache()
+    stats, index = cp.term_stats(posts, "body").cache(), se.index_posts(posts)
     found = []
 
     lines = spark.createDataFrame([(1, 0, "ERROR", 0, "red: ring"), (2, 0, "ERROR", 0, "no such thing")], "console_id long, run long, category string, line_no long, text string")
