@@ -1,9 +1,10 @@
 """I-Match fingerprints over a band of inverse document frequency.
 
-A text's terms are its words with A-Z in lower case. Document frequencies of all documents are counted in a
-table of `SLOTS` hashed slots, and a term is kept where its slot's frequency lies in the band: neither nearly
-everywhere nor nearly nowhere, on the scale of log(N / df) / log N. So the lexicon is a bit for each slot,
-of the same size for any corpus. A text with fewer than `LEAST` terms in the band keeps all its terms.
+A text's terms are its words with A-Z in lower case, each known by a 64-bit hash. Document frequencies of all
+documents are counted by term, and a term is kept where its frequency lies in the band: neither nearly
+everywhere nor nearly nowhere, on the scale of log(N / df) / log N. The lexicon is the sorted terms in the
+band, 8 bytes each; every task holds it, with a bit for each of `SLOTS` slots that spares most look-ups.
+A text with fewer than `LEAST` terms in the band keeps all its terms.
 
 The kept distinct terms are sorted, and hashed once for each of `REPLICAS` * `LEVELS` randomised subsets of
 the lexicon: a subset of level k holds a seeded half of the lexicon's terms raised to the power k + 1, so
@@ -33,9 +34,12 @@ from pyspark.sql import functions as F
 from askmill.llm.frames import stored
 from askmill.llm.wordhash import all_word_hashes, mix, raw_texts
 
+#: Bits that tell quickly that a term is not in the lexicon.
 SLOTS = 1 << 22
-#: Slots of one block of counts as it is sent; a block is compressed to a bit or two for each slot.
-BLOCK = 1 << 14
+#: Ranges of terms that are added up each on their own.
+BUCKETS = 1 << 10
+#: Terms that a task counts before it sends them.
+MOST = 1 << 22
 #: The band on the scale of log(N / df) / log N: 0 for a term of every document, 1 for a term of one.
 BAND = (0.1, 0.9)
 LEAST = 4
@@ -58,58 +62,104 @@ def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes[new], owner[new]
 
 
-def frequencies(docs: DataFrame) -> DataFrame:
-    """block, counts: document frequencies of slots, as compressed 32-bit integers.
+def _summed(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct terms and the sums of their counts."""
+    order = np.argsort(terms, kind="stable")
+    terms, counts = terms[order], counts[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(terms)), bool), terms[1:] != terms[:-1]]))
+    return terms[new], np.add.reduceat(counts, new) if len(new) else counts
 
-    A task adds up its own documents in one table, so what is shuffled is a few hundred compressed blocks
-    for each task, and a slot's counts are never rows.
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that the empty upper bytes cost nothing."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def frequencies(docs: DataFrame, low: float = 0, high: float = float("inf")) -> DataFrame:
+    """bucket, terms, counts: the terms with a document frequency from low to high, sorted, and the frequencies.
+
+    A task adds up its own documents' terms first, and sends them sorted, as packed differences, a row for each range.
     """
 
+    def sent(held: list) -> pa.RecordBatch:
+        terms, counts = held[0]
+        ends = np.searchsorted(terms >> np.uint64(54), np.arange(BUCKETS + 1, dtype=np.uint64))
+        rows = []
+        for bucket in np.flatnonzero(np.diff(ends)).tolist():
+            at = slice(ends[bucket], ends[bucket + 1])
+            rows.append((bucket, _packed(np.diff(terms[at], prepend=np.uint64(0))), _packed(counts[at].astype("<u4"))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
+            names=["bucket", "terms", "counts"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.uint32)
+        held, size = [], 0
+
+        def merged() -> list:
+            return [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+
         for batch in batches:
             for _, hashes, counts in all_word_hashes(raw_texts(batch["text"])):
-                terms, owner = _distinct(slots(hashes), counts)
-                total += np.bincount(terms, minlength=SLOTS).astype(np.uint32)
-        for block in np.flatnonzero(total.reshape(-1, BLOCK).any(axis=1)).tolist():
-            some = total[block * BLOCK : (block + 1) * BLOCK]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [zlib.compress(some.tobytes(), 6)]})
+                terms, _ = _distinct(hashes, counts)
+                held.append(_summed(terms, np.ones(len(terms), np.int64)))
+                size += len(held[-1][0])
+                if size > MOST:
+                    held = merged()
+                    size = len(held[0][0])
+                    if size > MOST // 2:
+                        yield sent(held)
+                        held, size = [], 0
+        if size:
+            yield sent(merged())
 
     def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for counts in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
-        return pa.table({"block": rows["block"][:1], "counts": [zlib.compress(total.tobytes(), 6)]})
+        terms = np.concatenate([np.cumsum(_unpacked(t.as_py(), "<u8"), dtype=np.uint64) for t in rows["terms"]])
+        counts = np.concatenate([_unpacked(c.as_py(), "<u4").astype(np.int64) for c in rows["counts"]])
+        terms, counts = _summed(terms, counts)
+        kept = (counts >= low) & (counts <= high)
+        return pa.table({"bucket": rows["bucket"][:1], "terms": [terms[kept].tobytes()], "counts": [counts[kept].tobytes()]})
 
-    kinds = "block int, counts binary"
-    return docs.select("text").mapInArrow(count, kinds).groupBy("block").applyInArrow(add, kinds)
+    kinds = "bucket int, terms binary, counts binary"
+    # Splits that one task counts share their terms, so less is sent; as long as all cores have a task.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
+    return docs.select("text").coalesce(tasks).mapInArrow(count, kinds).groupBy("bucket").applyInArrow(add, kinds)
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> bytes:
-    """A bit for each slot that lies in the band: `SLOTS` / 8 bytes, whatever the corpus."""
+def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
+    """The sorted terms whose document frequency lies in the band."""
     rows = docs.count()
     low, high = (rows ** (1 - x) for x in (band[1], band[0]))
+    found = frequencies(docs, max(2, low), high).select("bucket", "terms").collect()
+    found.sort(key=lambda r: r.bucket)
+    return np.frombuffer(b"".join(r.terms for r in found), np.uint64)
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = []
-            for counts in batch["counts"]:
-                df = np.frombuffer(zlib.decompress(counts.as_py()), np.int64)
-                bits.append(np.packbits((df >= max(2, low)) & (df <= high)).tobytes())
-            yield pa.RecordBatch.from_pydict({"block": batch["block"], "bits": pa.array(bits, pa.binary())})
 
-    out = bytearray(SLOTS // 8)
-    for r in frequencies(docs).mapInArrow(within, "block int, bits binary").collect():
-        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = r.bits
-    return bytes(out)
+def occupied(terms: np.ndarray) -> np.ndarray:
+    """Which slots have a term."""
+    out = np.zeros(SLOTS, bool)
+    out[slots(terms)] = True
+    return out
 
 
-def fingerprints(texts: list[bytes], kept: np.ndarray) -> np.ndarray:
-    """A row of `REPLICAS` * `LEVELS` hashes for each text; 0 where a subset holds none of its terms."""
+def fingerprints(texts: list[bytes], kept: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """A row of `REPLICAS` * `LEVELS` hashes for each text; 0 where a subset holds none of its terms.
+
+    Terms are kept that are in a slot of `kept` and, where it is given, in the sorted `known`.
+    """
     out = np.zeros((len(texts), REPLICAS, LEVELS), np.uint16)
     for start, hashes, counts in all_word_hashes(texts):
         terms, owner = _distinct(hashes, counts)
         inside = kept[slots(terms)]
+        if known is not None and len(known):
+            maybe = np.flatnonzero(inside)
+            at = np.minimum(np.searchsorted(known, terms[maybe]), len(known) - 1)
+            inside[maybe] = known[at] == terms[maybe]
         few = np.bincount(owner[inside], minlength=len(counts)) < LEAST
         inside |= few[owner]
         terms, owner = terms[inside], owner[inside]
@@ -153,7 +203,7 @@ def fingerprinted(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFram
     Documents go to one range shuffle by `doc_id`, so the next document is the next row; the last row of a
     range meets the first of the next range in a join of two rows for each range.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(lexicon(docs, band))
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, band))
 
     def row_batch(columns: dict, part: int, edge: int, texts: list) -> pa.RecordBatch:
         n = len(texts)
@@ -173,7 +223,7 @@ def fingerprinted(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFram
         n = len(own)
         changed = [edited(t, x).encode() for t, x in zip(own, after, strict=True)]
         others = [t.encode() for t in (after[-1:] if shifted else after)]
-        marks = fingerprints([t.encode() for t in own] + changed + others, kept)
+        marks = fingerprints([t.encode() for t in own] + changed + others, kept, sent.value)
         mine, theirs = marks[:n], marks[n : 2 * n]
         following = np.concatenate([mine[1:], marks[2 * n :]]) if shifted else marks[2 * n :]
         columns = {
@@ -187,11 +237,8 @@ def fingerprinted(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFram
         }
         return row_batch(columns, part, 0, [None] * n)
 
-    def lexicon_bits() -> np.ndarray:
-        return np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, kept = TaskContext.get().partitionId(), None, lexicon_bits()
+        part, held, kept = TaskContext.get().partitionId(), None, occupied(sent.value)
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for start in range(0, len(ids), 512):
@@ -207,7 +254,7 @@ def fingerprinted(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFram
             yield edge_row(*held, part, 2)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = lexicon_bits()
+        kept = occupied(sent.value)
         for batch in batches:
             yield compared(*(batch[c].to_pylist() for c in ("doc_id", "text", "after")), kept, False, 0)
 
