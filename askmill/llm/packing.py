@@ -1,7 +1,7 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 A document's ids end in one end id and are cut into full windows first; what is left goes in pieces of at
-most `PIECE` ids. Those pieces are dealt into groups of about `GROUP_WINDOWS` windows each. In a group
+most `PIECE` ids. Full windows are only numbered. The pieces are dealt into groups of about `GROUP_WINDOWS` windows each. In a group
 every piece starts as a partial partition of one filled window; the two partitions with the largest
 imbalance are merged again and again, fullest window onto emptiest, until one partition of near-equal
 windows is left. Where its fullest window exceeds the capacity, the group is tried with one more window.
@@ -105,7 +105,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_
     number, so groups are even whatever the documents are.
     """
     cut = stored(cut, "pieces")
-    total = cut.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
+    full, rest = cut.where(F.col("length") >= capacity), cut.where(F.col("length") < capacity)
+    total = rest.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // (group_windows * capacity)))
     kept = [f for f in cut.schema.fields if f.name != "deal"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -113,12 +114,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("deal", kind="stable").reset_index(drop=True)
-        sizes = rows["length"].to_numpy(np.int64)
-        full = np.flatnonzero(sizes >= capacity)
-        rest = np.flatnonzero(sizes < capacity)
-        sets = [[i] for i in full.tolist()]
-        if len(rest):
-            sets += [rest[s].tolist() for s in balanced(sizes[rest], capacity)]
+        sets = balanced(rows["length"].to_numpy(np.int64), capacity)
         order = np.concatenate([np.asarray(s, np.int64) for s in sets])
         out = rows.loc[order, names]
         out["window"] = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -127,15 +123,19 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_
         out["pack_group"] = key[0]
         return out
 
-    grouped = cut.withColumn("pack_group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
+    grouped = rest.withColumn("pack_group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
     filled = stored(
         grouped.groupBy("pack_group").applyInPandas(fill, f"{schema}, window bigint, offset bigint, pack_group bigint"),
         "windows",
     )
     counts = filled.groupBy("pack_group").agg((F.max("window") + 1).alias("windows"))
     firsts = running_totals(counts, ["pack_group"], "windows", "first")
-    return filled.join(firsts.select("pack_group", "first"), "pack_group").select(
-        *names, (F.col("first") + F.col("window")).alias("sequence_id"), "offset"
+    filled = filled.join(firsts.select("pack_group", "first"), "pack_group")
+    # Full windows are no group's work: they are numbered along `deal`, and the filled ones after them.
+    whole = running_totals(full.withColumn("_window", F.lit(1).cast("long")), ["deal"], "_window", "sequence_id")
+    sequence = F.lit(full.count()) + F.col("first") + F.col("window")
+    return whole.select(*names, "sequence_id", F.lit(0).cast("long").alias("offset")).unionByName(
+        filled.select(*names, sequence.alias("sequence_id"), "offset")
     )
 
 
