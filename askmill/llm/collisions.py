@@ -12,7 +12,9 @@ Scanning a list, a vector's window gives its partners; each row carries all its
 of a pair are counted on the spot and the pair is passed on by one list only, that of its first two
 collisions. Pairs with at least the calibrated count are verified by their cosine in double precision. The
 count is the largest that finds `RECALL` of pairs made at the threshold around a bounded sample of vectors
-(`SAMPLE`); pairs above the threshold collide more often.
+(`SAMPLE`); pairs above the threshold collide more often. In few dimensions near vectors have their extremes
+along different ones of so many directions; where two collisions miss `RECALL` there, vectors of that
+dimension are projected onto half as many directions, again and again, until it is reached.
 
 Equal vectors are one node with a count. A list longer than `CELL` is split into blocks and pairs of blocks, so no
 task scans a list that grows without bound.
@@ -44,6 +46,8 @@ PROJECTIONS = 512
 EXTREMES = 8
 RECALL = 0.99
 SAMPLE = 2_000
+#: Pairs that decide on the number of directions; a smaller sample is repeated.
+LEAST_SAMPLE = 500
 SEED = 7
 #: Rows of a list that one task scans.
 CELL = 4096
@@ -61,9 +65,9 @@ def half_window(threshold: float, dimension: int) -> float:
     return 4 * np.sqrt(2 - 2 * threshold) / np.sqrt(dimension)
 
 
-def extremes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def extremes(unit: np.ndarray, projections: int = PROJECTIONS) -> tuple[np.ndarray, np.ndarray]:
     """For unit vectors as rows: their signed extreme directions in ascending order, and the sizes there."""
-    values = unit @ directions(unit.shape[1])
+    values = unit @ directions(unit.shape[1])[:, :projections]
     top = np.argpartition(-np.abs(values), EXTREMES, axis=1)[:, :EXTREMES]
     values = np.take_along_axis(values, top, 1)
     codes = top * 2 + (values > 0)
@@ -82,23 +86,45 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def calibrated(vectors: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The largest count of collisions, 2 at least, that `recall` of pairs at the threshold reach."""
-    unit = _unit(vectors)
+def _counts(unit: np.ndarray, threshold: float, projections: int = PROJECTIONS) -> np.ndarray:
+    """Collisions of a pair at the threshold around each vector."""
     turn = np.random.default_rng(SEED).standard_normal(unit.shape)
     turn -= (turn * unit).sum(axis=1, keepdims=True) * unit
     other = threshold * unit + np.sqrt(1 - threshold**2) * _unit(turn)
     n = len(unit)
-    codes, values = (np.concatenate(x) for x in zip(extremes(unit), extremes(other), strict=True))
-    counts = collisions(codes, values, np.arange(n), np.arange(n, 2 * n), half_window(threshold, unit.shape[1])).sum(axis=1)
+    codes, values = (np.concatenate(x) for x in zip(extremes(unit, projections), extremes(other, projections), strict=True))
+    return collisions(codes, values, np.arange(n), np.arange(n, 2 * n), half_window(threshold, unit.shape[1])).sum(axis=1)
+
+
+def calibrated(vectors: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL, projections: int = PROJECTIONS) -> int:
+    """The largest count of collisions, 2 at least, that `recall` of pairs at the threshold reach."""
+    counts = _counts(_unit(vectors), threshold, projections)
     return max([2, *(c for c in range(2, EXTREMES + 1) if (counts >= c).mean() >= recall)])
 
 
+def projections_for(vectors: np.ndarray, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The most directions, halved from `PROJECTIONS`, with which `recall` of pairs at the threshold collide twice.
+
+    The number that comes nearest where none reaches it. On a line there are no pairs at the threshold.
+    """
+    if vectors.shape[1] < 2:
+        return PROJECTIONS
+    unit = _unit(np.repeat(vectors, -(-LEAST_SAMPLE // len(vectors)), axis=0))
+    shares, projections = {}, PROJECTIONS
+    while projections > EXTREMES:
+        shares[projections] = (_counts(unit, threshold, projections) >= 2).mean()
+        if shares[projections] >= recall:
+            return projections
+        projections //= 2
+    return max(shares, key=shares.get)
+
+
 _LIST = "`list` bigint, total double, node bigint, codes binary, `values` binary"
 
 
-def lists(nodes: DataFrame) -> DataFrame:
-    """The rows of all lists for nodes(node, embedding)."""
+def lists(nodes: DataFrame, projections: dict[int, int] | None = None) -> DataFrame:
+    """The rows of all lists for nodes(node, embedding); projections: by dimension, `PROJECTIONS` where not given."""
+    used = projections or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = np.triu_indices(EXTREMES, 1)
@@ -109,7 +135,7 @@ def lists(nodes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(size == dimension)
                 for some in np.array_split(at, -(-len(at) // 512)):
                     own = batch["embedding"].take(pa.array(some)).flatten().to_numpy().reshape(-1, dimension)
-                    codes, values = extremes(_unit(own.astype(float)))
+                    codes, values = extremes(_unit(own.astype(float)), used.get(dimension, PROJECTIONS))
                     n, k = len(some), len(first)
                     key = dimension << 22 | codes[:, first].astype(np.int64) << 11 | codes[:, second].astype(np.int64)
                     total = values[:, first] + values[:, second]
@@ -166,7 +192,9 @@ def scanned(rows: tuple, least: int, threshold: float, apart: np.ndarray | None
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(nodes: DataFrame, least: int, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+def candidates(
+    nodes: DataFrame, least: int, threshold: float = THRESHOLD, cell: int = CELL, projections: dict[int, int] | None = None
+) -> DataFrame:
     """a, b: pairs of nodes with at least `least` collisions, each once."""
     kinds = f"a bigint, b bigint, {_LIST}"
     names = ["list", "total", "node", "codes", "values"]
@@ -209,7 +237,7 @@ def candidates(nodes: DataFrame, least: int, threshold: float = THRESHOLD, cell:
         if held is not None and len(held):
             yield from pairs(*scanned(_decoded(held), least, threshold)).to_batches()
 
-    placed = lists(nodes).repartition("list").sortWithinPartitions("list", "total", "node")
+    placed = lists(nodes, projections).repartition("list").sortWithinPartitions("list", "total", "node")
     met = stored(placed.mapInArrow(scan, kinds), "lists")
     found = met.where("a is not null").select("a", "b")
 
@@ -282,8 +310,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     sample = nodes.select("h1", "embedding").orderBy("h1").limit(SAMPLE).toPandas()["embedding"]
     by_size = sample.groupby(sample.map(len)).apply(list) if len(sample) else []
-    least = min([calibrated(np.array(v, float), threshold) for v in by_size], default=2)
-    links = stored(verified(candidates(nodes, least, threshold), nodes, threshold), "links")
+    samples = [np.array(v, float) for v in by_size]
+    # Dimensions too rare for the sample get one of their own.
+    sizes = {r[0] for r in nodes.select(F.size("embedding")).distinct().collect()} - {v.shape[1] for v in samples}
+    for size in sorted(sizes):
+        rare = nodes.where(F.size("embedding") == size).select("h1", "embedding").orderBy("h1").limit(LEAST_SAMPLE)
+        samples.append(np.array(rare.toPandas()["embedding"].tolist(), float))
+    used = {v.shape[1]: projections_for(v, threshold) for v in samples}
+    least = min([calibrated(v, threshold, projections=used[v.shape[1]]) for v in samples], default=2)
+    links = stored(verified(candidates(nodes, least, threshold, projections=used), nodes, threshold), "links")
 
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = nodes.select(F.col("node").alias("b"), "copies")
