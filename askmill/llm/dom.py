@@ -14,12 +14,16 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea iframe svg math object select title head".split())
+#: Elements whose content is no text of the page; without an end tag the first ones go on to the end of the page,
+#: as in HTML, and the content of the others counts.
+_TO_THE_END = frozenset("script style title textarea".split())
+RAW = _TO_THE_END | frozenset("template iframe svg select annotation annotation-xml head".split())
 #: Elements that stand in the flow of a block's text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr input button".split()
+    "strike strong sub sup time tt u var wbr input button "
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover "
+    "mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of these ends an open element of the same set that it can't stand in.
@@ -89,10 +93,12 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
             continue
         if tag in RAW and not found["end"]:
-            if tag != "head" and not found["rest"].endswith("/>"):
-                close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+            if tag == "head" or found["rest"].endswith("/>"):
+                continue
+            close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+            if close or tag in _TO_THE_END:
                 at = close.end() if close else end
-            continue
+                continue
         if tag in INLINE:
             if tag == "a":
                 in_link = not found["end"]
