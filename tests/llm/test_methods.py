@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from test_shingles import partition, shingled
 
 from askmill.llm import collisions, dom, hilbert, imatch, mixing, packing, simhash, token_files
 from askmill.llm.graph import components, forest
@@ -203,14 +204,11 @@ def test_pipeline_stages_keep_their_promises(spark):
     for _, before, after in made[:-1]:
         assert after.columns == before.columns
     assert good.count() < made[0][1].count()
-    marks = {}
-    for r in good.collect():
-        marks.setdefault(simhash.fingerprint(r.text), []).append(r.doc_id)
-    bits = np.array(sorted(marks), np.uint64)
-    links = [(i, int(j)) for i in range(len(bits)) for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= 4)]
+    rows = sorted(good.select("doc_id", "text").collect())
+    sets = [shingled(r.text) for r in rows]
     least = {}
-    for mark, root in zip(bits.tolist(), groups(len(bits), links), strict=True):
-        least[root] = min([*marks[mark], least.get(root, 10**9)])
+    for row, root in zip(rows, partition(sets, 0.8), strict=True):
+        least[root] = min(row.doc_id, least.get(root, 10**9))
     assert sorted(r.doc_id for r in single.collect()) == sorted(least.values())
     times = Counter(r.doc_id for r in mixed.collect())
     assert max(times.values()) <= 2 and set(times) <= set(least.values())
