@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import collisions, dom_crf, hilbert, imatch, mixing, nbsvm, packing, simhash, token_files, tool_calls
-from askmill.llm.frames import table
+from askmill.llm import collisions, dom_crf, hilbert, imatch, mixing, nbsvm, packing, simhash, token_files, tool_calls, trie
+from askmill.llm.frames import stored, table, zero_if_empty
 from askmill.session import prepare
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -102,6 +102,27 @@ def op10_collisions(spark: SparkSession, folder: str) -> DataFrame:
     return collisions.near_duplicates(table(prepare(spark), folder, "embeddings"))
 
 
+def grafted(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Placed turns and members, rebuilt: the first turns of each conversation come from the one that its five share."""
+    convs = stored(trie.members(turns).withColumn("h", F.crc32(F.col("conv_id").cast("string")) % 9), "convs")
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    given = convs.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n"))
+    led = convs.withColumn("base", base).join(given, "base", "left")
+    led = stored(led.select("conv_id", "base", "h", F.least("h", zero_if_empty(F.col("base_n"))).alias("lead")), "leads")
+    own = turns.join(led, "conv_id").where("pos >= h").withColumn("pos", F.col("lead") + F.col("pos") - F.col("h"))
+    first = turns.where((F.col("conv_id") % 5 == 0) & (F.col("pos") < 8)).withColumnRenamed("conv_id", "base")
+    columns = ["conv_id", "pos", "a", "b", "size"]
+    rows = own.select(columns).unionByName(first.join(led, "base").where("pos < lead").select(columns))
+    rows = stored(rows, "rebuilt")
+    sums = led.select("conv_id").join(trie.members(rows), "conv_id", "left")
+    return rows, stored(sums.na.fill(0, ["n", "size"]), "members")
+
+
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = stored(trie.placed(table(prepare(spark), folder, "conversations")), "placed")
+    return trie.nodes(*grafted(turns))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,13 +142,48 @@ QUERIES = {
         op8_nbsvm,
         op9_tool_calls,
         op10_collisions,
+        op11_prefix_trie,
         pipeline,
     )
 }
 
 _RULES = ", ".join(f"('{n}', '{p}', '{k}', {str(r).lower()})" for n, p, k, r in SCHEMAS)
 
+# crc32 of a text: its bytes through the eight shifts of the polynomial.
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(
+  [4294967295::BIGINT] || list_transform(range(0, strlen({0}), 1), lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::INT, 2))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)))))"""
+
 ORACLE = {
+    "op11_prefix_trie": f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % 9 AS h, count(*) AS n FROM turns GROUP BY conv_id),
+led AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS lead FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT l.conv_id, t.pos + 1 AS depth, t.role, t.text FROM led l JOIN turns t ON t.conv_id = l.base AND t.pos < l.lead
+  UNION ALL
+  SELECT l.conv_id, t.pos - l.h + l.lead + 1, t.role, t.text FROM led l JOIN turns t ON t.conv_id = l.conv_id AND t.pos >= l.h),
+paths AS (
+  SELECT conv_id, depth, strlen(text) AS size,
+    md5(string_agg(md5(role || chr(1) || text), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS path FROM rebuilt
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs),
+tops AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS top, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM paths),
+firsts AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS first, bool_and(depth = top) OVER (PARTITION BY depth, path) AS childless FROM tops),
+own AS (
+  SELECT *, sum(CASE WHEN first <> conv_id THEN size ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY depth DESC) AS shared,
+    CASE WHEN bool_or(childless AND depth = top AND first = conv_id) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS leaf FROM firsts),
+grown AS (
+  SELECT depth, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, sum(leaf) AS n_leaves, sum(shared) AS saved_tokens,
+    sha256(coalesce(string_agg(CASE WHEN depth = top THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM own GROUP BY depth, path),
+children AS (SELECT depth - 1 AS depth, above AS path, count(*) AS n FROM grown WHERE depth > 0 GROUP BY 1, 2)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(c.n, 0) AS n_children,
+  CAST(g.n_leaves AS BIGINT) AS n_leaves, CAST(g.saved_tokens AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM grown g LEFT JOIN grown p ON p.depth = g.depth - 1 AND p.path = g.above LEFT JOIN children c ON c.depth = g.depth AND c.path = g.path
+""",
     "op9_tool_calls": f"""
 WITH RECURSIVE calls AS ({CALLS.format(text="VARCHAR")}),
 results AS ({RESULTS.format(text="VARCHAR")}),
