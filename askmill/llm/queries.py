@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import collisions, dom_crf, hilbert, imatch, mixing, nbsvm, packing, simhash, token_files, tool_calls, trie
+from askmill.llm import collisions, dom_crf, hilbert, imatch, licenses, mixing, nbsvm, packing, simhash, spelling, token_files, tool_calls, trie
 from askmill.llm.frames import stored, table, zero_if_empty
 from askmill.session import prepare
 
@@ -123,6 +123,31 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.nodes(*grafted(turns))
 
 
+#: Phrases whose places are counted, and their labels.
+LICENSE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    rows = licenses.scanned(table(prepare(spark), folder, "documents").select("doc_id", "text"), LICENSE_PHRASES)
+    labels = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.col(f"{c}.label") for c in columns)))), ",")
+    return rows.select(
+        "doc.doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.first").alias("first_word"),
+        F.array_max("places.first").alias("last_word"),
+        labels("places").alias("base_labels"),
+        labels("places", "detections").alias("labels"),
+        licenses.score("detections").alias("score"),
+        F.size("detections").cast("long").alias("n_detections"),
+    )
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    counted = spelling.counted(table(prepare(spark), folder, "documents"), slips=97)
+    return spelling.grouped(counted)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -143,6 +168,8 @@ QUERIES = {
         op9_tool_calls,
         op10_collisions,
         op11_prefix_trie,
+        op12_licenses,
+        op13_spelling,
         pipeline,
     )
 }
