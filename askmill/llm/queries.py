@@ -182,6 +182,31 @@ _CRC32 = """xor(4294967295::BIGINT, list_reduce(
   lambda c, b: list_reduce([xor(c, b)] || range(8), lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)))))"""
 
 ORACLE = {
+    "op13_spelling": f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+each AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+crcs AS (SELECT run, n, {_CRC32.format("named")} AS h FROM each),
+slipped AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM crcs),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, substr(word, 1, i::INT) AS x, substr(word, i::INT + 2) AS y FROM words, range(0, 64) r(i) WHERE i < length(word)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.x = b.x AND a.y = b.y WHERE a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.x || c.y
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.x || c.y),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM pairs GROUP BY 1),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 2 * w.n THEN b.most END AS form_n,
+    (SELECT min(p.near) FROM pairs p WHERE p.word = w.word AND p.near_n = b.most AND b.most >= 2 * w.n) AS form
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+""",
     "op11_prefix_trie": f"""
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,

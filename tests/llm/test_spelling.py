@@ -71,7 +71,7 @@ def test_odd_rows(spark):
     docs += [(4, "Étages kettle" * 3), (4, "w" * 100_000 + " " + "kettles " * 40_000)] + [(n, "settle kettle settles" + " kittle" * (n % 3 == 0)) for n in range(400)]
     given = spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, word string")
     want = brute(count(docs))
-    assert want["kittle"][1] != "kittle" and len(want) > 6
+    assert want["kittle"][1] == "kettles" and len(want) >= 6
     assert rows_of(spelling.grouped(spelling.counted(given, slips=97))) == want
     assert spelling.grouped(spelling.counted(given.where("false"))).count() == 0
 
