@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askmill.functions.text import GAP_RUN, words
+from askmill.functions.text import GAP_RUN, WORD_RUN, words
+from askmill.session import stored
 
 
 def _document_terms(docs: DataFrame, terms: Column) -> DataFrame:
@@ -74,17 +75,57 @@ def term_frequency(docs: DataFrame, pattern: str, id: str = "doc_id", text: str
     )
 
 
+def _word_occurrences(terms: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """term, occurrences of the terms that are one word."""
+    tokens = docs.select(F.explode_outer(F.split(F.col(text), GAP_RUN)).alias("term"))
+    some = tokens.where(F.col("term") != "").join(terms, "term", "left_semi")
+    return some.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def _phrase_occurrences(terms: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """term, occurrences of terms of any characters that begin and end at word boundaries of the text.
+
+    Words and the gaps between them tile a text, so a term occurs where its own tiles stand in a row. Its rarest
+    tile in the corpus is looked up; the rest is compared in place. Occurrences of a term do not overlap:
+    they are taken from the left. Gaps at the ends of a text lie at no boundary.
+    """
+    tiles = lambda value: F.regexp_extract_all(value, F.lit(f"({WORD_RUN}|{GAP_RUN})"), 1)
+    inner = F.regexp_replace(F.col(text), rf"\A{GAP_RUN}|{GAP_RUN}\z", "")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), tiles(inner).alias("tiles"))
+    rows = stored(rows.where(F.size("tiles") > 0), "tiles")
+    wanted = stored(terms.select("term", tiles(F.col("term")).alias("own")), "phrases")
+    each = wanted.select("term", "own", F.explode(F.array_distinct("own")).alias("tile"))
+    met = rows.select(F.explode("tiles").alias("tile")).join(each.select("tile").distinct(), "tile", "left_semi")
+    counts = met.groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, "tile", "left").groupBy("term", "own").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tile")).alias("it"))
+    anchors = stored(rarest.where("it.n > 0").select("term", "own", F.col("it.tile").alias("tile")), "anchors")
+    at = rows.select("row", F.posexplode("tiles").alias("at", "tile"))
+    starts = at.join(anchors.select("term", "tile", F.array_position("own", F.col("tile")).alias("nth")), "tile")
+    starts = starts.select("row", "term", (F.col("at") - F.col("nth") + 2).cast("int").alias("start")).where("start > 0")
+    told = stored(starts, "starts").join(rows, "row").join(anchors.select("term", "own"), "term")
+    found = told.where(F.slice("tiles", F.col("start"), F.size("own")) == F.col("own"))
+    places = found.groupBy("row", "term", F.size("own").alias("n")).agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def further(state: Column, start: Column) -> Column:
+        taken = F.struct((state["count"] + 1).alias("count"), (start + F.col("n")).alias("end"))
+        return F.when(start >= state["end"], taken).otherwise(state)
+
+    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).alias("end"))
+    count = F.aggregate("starts", none, further, lambda state: state["count"])
+    return places.select("term", count.alias("count")).groupBy("term").agg(F.sum("count").alias("occurrences"))
+
+
 def occurrence_idf(terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """ln(N div occurrences) per term, in whole-number division.
 
-    Occurrences are those of the term as a whole word, case kept, so a term is taken to be one word.
-    More occurrences than documents give -infinity, no occurrence gives null.
+    A term is any literal text: a word, several, or with punctuation. Occurrences are those between word
+    boundaries, case kept, that do not overlap. More occurrences than documents give -infinity, no
+    occurrence and the empty term give null.
     """
-    tokens = docs.select(F.explode_outer(F.split(F.col(text), GAP_RUN)).alias("term"))
-    wanted = terms.select("term").distinct()
-    counts = (
-        tokens.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"))
-    )
+    wanted = terms.select("term").distinct().where(F.col("term").isNotNull())
+    lone = F.col("term").rlike(rf"\A{WORD_RUN}\z")
+    counts = _word_occurrences(wanted.where(lone), docs, text)
+    counts = counts.unionByName(_phrase_occurrences(wanted.where(~lone & (F.col("term") != "")), docs, text))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     found = wanted.join(counts, "term", "left").withColumn(
         "_whole", F.call_function("div", n_docs, "occurrences")

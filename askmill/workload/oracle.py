@@ -189,6 +189,28 @@ oracle("filter_posts", "parts", """SELECT post_id, title, votes FROM parts
       AND votes BETWEEN 5 AND 40 AND answers >= 1 AND title LIKE '%l%' AND accepted""")
 oracle("filter_posts_page", "parts", """SELECT post_id, body FROM parts WHERE body LIKE '%Brand#1%' AND created <= 86400000
     ORDER BY created DESC, post_id LIMIT 25 OFFSET 25""")
+block("full_posts", "", """SELECT p_partkey post_id, p_name title, CASE WHEN p_size % 3 > 0 THEN p_brand END body,
+    CASE WHEN p_size % 7 > 0 THEN string_split(lower(p_name || ' ' || p_type), ' ') END tags, p_size votes, p_retailprice relevance,
+    p_partkey * 86400 created, p_size * 86400 active, p_partkey % 4 answers, p_partkey % 1000 views, p_brand owner,
+    'site' || (p_partkey % 3) site, CASE WHEN p_size % 5 > 0 THEN 'p/' || p_partkey END url,
+    [p_size % 2 = 0, p_size % 3 = 0, p_partkey % 5 = 0, p_size % 11 = 0, p_partkey % 7 > 0] flags FROM part""")
+# a customer's key k says which components its request has
+block("browsed", "full_posts", """SELECT c_custkey request_id, k, p.*,
+      CASE k % 4 WHEN 0 THEN relevance WHEN 1 THEN votes WHEN 2 THEN created ELSE active END AS value
+    FROM (SELECT *, c_custkey k, CASE WHEN c_custkey % 4 > 1 THEN 86400 ELSE 1 END AS unit FROM customer) c JOIN full_posts p ON
+      (k % 3 <> 0 OR list_has_any(tags, ['ring', 'bolt'])) AND (k % 5 <> 0 OR NOT list_contains(tags, 'cold'))
+      AND (k % 2 <> 0 OR created >= k % 50 * 86400) AND (k % 3 <> 1 OR created <= (k % 50 + 100) * 86400)
+      AND (k % 4 = 0 OR k % 7 <> 1 OR CASE k % 4 WHEN 1 THEN votes WHEN 2 THEN created ELSE active END >= k % 20 * unit)
+      AND (k % 4 = 0 OR k % 7 <> 2 OR CASE k % 4 WHEN 1 THEN votes WHEN 2 THEN created ELSE active END <= (k % 20 + 20) * unit)
+      AND (k % 6 <> 1 OR answers >= k % 4) AND (k % 8 <> 3 OR views >= k % 500)
+      AND (k % 9 <> 4 OR contains(body, 'Brand#' || (k % 5 + 1))) AND (k % 10 <> 5 OR contains(title, 'l'))
+      AND (k % 11 <> 6 OR contains(url, 'p/1')) AND (k % 12 <> 7 OR owner = 'Brand#13') AND (k % 13 <> 3 OR site = 'site' || (k % 3))
+      AND (k % 7 IN (1, 2) OR flags[CASE k % 7 WHEN 0 THEN 5 ELSE k % 7 - 2 END] = (k % 2 = 0))""")
+oracle("filter_for_requests", "browsed", """SELECT request_id, position, post_id, title FROM (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN k % 3 = 2 THEN value ELSE -value END, post_id) - 1 AS position,
+        CASE WHEN k % 4 = 1 THEN 7 ELSE 30 END AS size FROM browsed)
+    WHERE (k % 20 = 0 AND k % 4 <> 1) OR position BETWEEN CASE WHEN k % 20 = 0 THEN 0 ELSE k % 3 END * size
+      AND (CASE WHEN k % 20 = 0 THEN 0 ELSE k % 3 END + 1) * size - 1""")
 block("kinds", "", """SELECT user_id, event_id, ts, CASE event_type WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Scroll'
     WHEN 'error' THEN 'Delete' ELSE 'Insert' END kind FROM events""")
 
@@ -288,6 +310,18 @@ oracle("occurrence_idf", "doc_tokens exact_tokens", """SELECT term, coalesce(c,
     CASE WHEN n // c = 0 THEN '-inf'::DOUBLE ELSE round(ln((n // c)::DOUBLE), 6) END idf
     FROM (SELECT DISTINCT term, (SELECT count(*) FROM documents) n FROM doc_tokens)
     LEFT JOIN (SELECT term, count(*) c FROM exact_tokens GROUP BY term) USING (term)""")
+# a tile between two marks, so that a term's tiles stand together in a text's only where they are its own
+MARKED = "array_to_string(list_transform({}, lambda x: chr(2) || x || chr(3)), '')"
+block("phrases", "", f"""SELECT DISTINCT array_to_string(own, '') term, {MARKED.format("own")} marked FROM (
+    SELECT unnest([tiles[1:3], tiles[3:4], tiles[4:5], tiles[7:11]]) own FROM (
+      SELECT regexp_extract_all(text, {PIECES}, 1) tiles FROM benchmark)) WHERE own <> []""")
+block("marked_texts", "", f"""SELECT {MARKED.format("regexp_extract_all(inside, " + PIECES + ", 1)")} marked FROM (
+    SELECT regexp_replace(regexp_replace(text, '^[^\\p{{L}}\\p{{Nd}}_]+', ''), '[^\\p{{L}}\\p{{Nd}}_]+$', '') inside FROM documents)""")
+oracle("occurrence_idf_phrases", "phrases marked_texts", """SELECT term, c::BIGINT occurrences,
+      CASE WHEN c = 0 THEN NULL WHEN n // c = 0 THEN '-inf'::DOUBLE ELSE round(ln((n // c)::DOUBLE), 6) END idf
+    FROM (SELECT term, (SELECT count(*) FROM documents) n,
+        sum((length(t.marked) - length(replace(t.marked, p.marked, ''))) // length(p.marked)) c
+      FROM phrases p, marked_texts t GROUP BY term)""")
 block("weighted", "context_terms", "SELECT context_id, term, sum(weight)::BIGINT weight FROM context_terms GROUP BY ALL")
 oracle("weighted_terms", "weighted", "SELECT * FROM weighted")
 block("part_clicks", "tagged_parts", """SELECT o_custkey user_id, tags,
@@ -422,6 +456,17 @@ def match_blocks(prefix: str, queries: str, posts: str, postings: str, stats: st
 block("whole", "ready", "SELECT request_id, 0 step, clean_q q, tags FROM ready")
 oracle("match_posts", match_blocks("m_", "whole", "posts", "doc_postings", "doc_terms"),
        "SELECT request_id, post_id, round(relevance, 6) relevance FROM m_matches")
+block("page_sizes", "ready", "SELECT request_id, user_id % 3 AS page, user_id % 5 + 2 AS size FROM ready")
+
+
+def page_of(matches: str, columns: str) -> str:
+    return f"""SELECT {columns}, position, post_id, round(relevance, 6) relevance, found > (page + 1) * size has_more FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(relevance, 9) DESC, post_id) - 1 AS position,
+          count(*) OVER (PARTITION BY request_id) found FROM {matches} JOIN page_sizes USING (request_id))
+      WHERE position BETWEEN page * size AND (page + 1) * size - 1"""
+
+
+oracle("match_posts_page", "m_matches page_sizes", page_of("m_matches", "request_id"))
 block("name_words", "", """SELECT p_partkey, unnest(ws) word, generate_subscripts(ws, 1) i FROM (SELECT p_partkey,
     string_split(lower(p_type || ' ' || p_name || ' ' || p_brand || ' ' || p_name), ' ') ws FROM part)""")
 oracle("keep_vocabulary", "name_words name_stats", """SELECT p_partkey, coalesce(string_agg(word, '|' ORDER BY i)
@@ -445,6 +490,7 @@ def backoff_blocks(prefix: str, requests: str, posts: str, postings: str, stats:
 block("all_backing", "ready", "SELECT request_id, clean_q q, tags, TRUE backoff FROM ready")
 oracle("search_with_backoff", backoff_blocks("b_", "all_backing", "posts", "doc_postings", "doc_terms"),
        "SELECT request_id, query, post_id, round(relevance, 6) relevance FROM b_found")
+oracle("search_with_backoff_page", "b_found page_sizes", page_of("(SELECT * FROM b_found WHERE post_id IS NOT NULL)", "request_id, query"))
 block("error_lines", "ready", r"""SELECT request_id, clean_q q, []::VARCHAR[] tags, 0 step, string_split_regex(
     trim(replace(replace(clean_q, '{', ''), '}', ''), ' '), '\s')[-1] last_word FROM ready""")
 match_blocks("e_", "error_lines", "posts", "doc_postings", "doc_terms")

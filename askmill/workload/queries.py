@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from askmill import prepare
 from askmill.functions import scoring as sc
 from askmill.functions import text as tx
+from askmill.operators import browse as br
 from askmill.operators import contexts as cx
 from askmill.operators import corpus as cp
 from askmill.operators import difficulty as di
@@ -19,6 +20,7 @@ from askmill.operators import history as hi
 from askmill.operators import personal as pe
 from askmill.operators import posts as po
 from askmill.operators import requests as rq
+from askmill.operators import paging as pa
 from askmill.operators import search as se
 from askmill.operators import telemetry as te
 from askmill.plans import jobs
@@ -243,6 +245,12 @@ def filter_posts_page(t: Tables) -> DataFrame:
     return po.filter_posts(t.part_posts(), {**request, "filter": "post_id,body"})
 
 
+@query
+def filter_for_requests(t: Tables) -> DataFrame:
+    found = br.filter_for_requests(t.full_posts(), t.browse_requests())
+    return found.select("request_id", "position", "post_id", "title")
+
+
 @query
 def classify_editor_events(t: Tables) -> DataFrame:
     return _micros(ed.classify_editor_events(t.raw_edits()), "ts")
@@ -355,6 +363,15 @@ def occurrence_idf(t: Tables) -> DataFrame:
     return _rounded(cp.occurrence_idf(terms.where(F.col("term") != ""), t.corpus()), "idf")
 
 
+@query
+def occurrence_idf_phrases(t: Tables) -> DataFrame:
+    """Two words, a word with the gap behind it or before it, three words."""
+    tiles = F.regexp_extract_all("text", F.lit(f"({tx.WORD_RUN}|{tx.GAP_RUN})"), 1)
+    spans = F.array(*(F.array_join(F.slice(F.col("tiles"), a, n), "") for a, n in ((1, 3), (3, 2), (4, 2), (7, 5))))
+    terms = t.read("benchmark").select(tiles.alias("tiles")).select(F.explode(spans).alias("term"))
+    return _rounded(cp.occurrence_idf(terms, t.corpus()), "idf")
+
+
 @query
 def weighted_terms(t: Tables) -> DataFrame:
     return cx.weighted_terms(t.contexts())
@@ -440,6 +457,22 @@ def match_posts(t: Tables) -> DataFrame:
     return _rounded(se.match_posts(*_search_inputs(t)), "relevance")
 
 
+def _paged_inputs(t: Tables) -> tuple[DataFrame, pa.PagedIndex]:
+    requests, index = _search_inputs(t)
+    page, size = (F.col("user_id") % 3 + 1).cast("int"), (F.col("user_id") % 5 + 2).cast("int")
+    return requests.withColumn("page", page).withColumn("pagesize", size), pa.bounds_of(index)
+
+
+@query
+def match_posts_page(t: Tables) -> DataFrame:
+    return _rounded(pa.first_pages(*_paged_inputs(t))[0], "relevance")
+
+
+@query
+def search_with_backoff_page(t: Tables) -> DataFrame:
+    return _rounded(pa.backoff_pages(*_paged_inputs(t))[0], "relevance")
+
+
 @query
 def keep_vocabulary(t: Tables) -> DataFrame:
     names = t.read("part").select(

@@ -74,6 +74,44 @@ class Tables:
             F.col("p_brand").alias("user"),
         )
 
+    def full_posts(self) -> DataFrame:
+        """Parts with every column that a request can test."""
+        extra = self.read("part").selectExpr(
+            "p_partkey post_id", "p_retailprice relevance", "cast(p_partkey % 1000 as int) views", "p_size % 3 = 0 closed",
+            "p_partkey % 5 = 0 migrated", "p_size % 11 = 0 notice", "p_partkey % 7 > 0 wiki",
+            "concat('site', p_partkey % 3) site", "CASE WHEN p_size % 5 > 0 THEN concat('p/', p_partkey) END url",
+        )
+        return self.part_posts().drop("link").join(extra, "post_id")
+
+    def browse_requests(self) -> DataFrame:
+        """One structured request per customer; each component is set in some of them."""
+        day = "CASE WHEN c_custkey % 4 > 1 THEN 86400 ELSE 1 END"
+        return self.read("customer").selectExpr(
+            "c_custkey request_id",
+            "CASE c_custkey % 4 WHEN 0 THEN 'relevance' WHEN 1 THEN 'votes' WHEN 2 THEN 'Newest' ELSE 'active' END sort",
+            "CASE WHEN c_custkey % 3 = 2 THEN 'asc' END `order`",
+            "CASE WHEN c_custkey % 3 = 0 THEN array('ring', 'bolt', 'ring') END tagged",
+            "CASE WHEN c_custkey % 5 = 0 THEN array('cold') END nottagged",
+            "CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 50 * 86400 END fromdate",
+            "CASE WHEN c_custkey % 3 = 1 THEN (c_custkey % 50 + 100) * 86400 END todate",
+            f"CASE WHEN c_custkey % 4 > 0 AND c_custkey % 7 = 1 THEN c_custkey % 20 * {day} END min",
+            f"CASE WHEN c_custkey % 4 > 0 AND c_custkey % 7 = 2 THEN (c_custkey % 20 + 20) * {day} END max",
+            "CASE WHEN c_custkey % 6 = 1 THEN c_custkey % 4 END answers",
+            "CASE WHEN c_custkey % 8 = 3 THEN c_custkey % 500 END views",
+            "CASE WHEN c_custkey % 9 = 4 THEN concat('Brand#', c_custkey % 5 + 1) END body",
+            "CASE WHEN c_custkey % 10 = 5 THEN 'l' END title",
+            "CASE WHEN c_custkey % 11 = 6 THEN 'p/1' END url",
+            "CASE WHEN c_custkey % 12 = 7 THEN 'Brand#13' END user",
+            "CASE WHEN c_custkey % 13 = 3 THEN concat('site', c_custkey % 3) END site",
+            "CASE WHEN c_custkey % 7 = 3 THEN c_custkey % 2 = 0 END accepted",
+            "CASE WHEN c_custkey % 7 = 4 THEN c_custkey % 2 = 0 END closed",
+            "CASE WHEN c_custkey % 7 = 5 THEN c_custkey % 2 = 0 END migrated",
+            "CASE WHEN c_custkey % 7 = 6 THEN c_custkey % 2 = 0 END notice",
+            "CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 2 = 0 END wiki",
+            "CASE WHEN c_custkey % 20 > 0 THEN c_custkey % 3 + 1 END page",
+            "CASE WHEN c_custkey % 4 = 1 THEN 7 END pagesize",
+        )
+
     def tagged_parts(self) -> DataFrame:
         """Every part with its tags, none missing."""
         tags = F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")
