@@ -13,7 +13,8 @@ from several signs. Training takes the `SAMPLE` labelled pages with the smallest
 whole, in one task; the model is `SLOTS` * 2 weights and the transitions, and goes to all tasks.
 
 Nulls, empty and repeated rows: a null or empty page has the text "" and 0 characters; a null `page_id` or
-`url` stays null; rows that repeat each have their result. Malformed markup is read as far as it goes. If no
+`url` stays null; rows that repeat each have their result. Malformed markup is read as far as it goes, in time
+and memory that grow with its length. If no
 page is labelled, every block outside of scripts and styles is kept. An empty table gives no rows. Other
 columns are left out.
 """
@@ -21,7 +22,9 @@ columns are left out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askmill.llm.dom import Block, blocks
+from askmill.llm.dom import Block, Node, blocks
 
 SLOTS = 1 << 15
 #: Labelled pages that training takes at most; each is shown in `VERSIONS` more versions.
 SAMPLE = 300
 VERSIONS = 2
+#: Pages of more blocks, or of deeper ones, are not learnt from.
+MOST_BLOCKS, DEEPEST = 5000, 200
 SEED = 3
 STEPS = 60
 RATE = 0.3
@@ -74,23 +79,83 @@ PHRASES = {
 
 
 @lru_cache(1 << 16)
-def _slot(name: str) -> int:
+def _known_slot(name: str) -> int:
     return xxhash.xxh32_intdigest(name) & (SLOTS - 1)
 
 
-@lru_cache(1 << 14)
-def _path_slots(path: tuple) -> tuple[int, ...]:
-    found = {f"depth {min(len(path), 12)}"}
-    for tag, words in path:
-        found.add(f"in {tag}")
-        found.update(f"named {w}" for w in words)
-    for far, (tag, words) in enumerate(reversed(path[-2:])):
-        found.add(f"at {far} {tag}")
-        found.update(f"at {far} named {w}" for w in words)
-    return tuple({_slot(f) for f in found})
+def _slot(name: str) -> int:
+    return _known_slot(name) if len(name) < 100 else _known_slot.__wrapped__(name)
+
+
+def _inherited(tag: str, words: tuple) -> list[int]:
+    """Slots of an element that all blocks within it have."""
+    return [_slot(f"in {tag}"), *(_slot(f"named {w}") for w in words)]
+
 
+def _near(path: tuple, depth: int) -> set[int]:
+    """Slots of a block's depth and its two nearest elements, the nearest last."""
+    found = {_slot(f"depth {min(depth, 12)}")}
+    for far, (tag, words) in enumerate(reversed(path)):
+        found.add(_slot(f"at {far} {tag}"))
+        found.update(_slot(f"at {far} named {w}") for w in words)
+    return found
 
-def block_slots(block: Block) -> list[int]:
+
+@lru_cache(1 << 10)
+def _path_slots(path: tuple) -> tuple[int, ...]:
+    return tuple(_near(path[-2:], len(path)).union(*(_inherited(*e) for e in path)))
+
+
+class Scores:
+    """What the elements around a block add to its scores, for blocks in page order.
+
+    The slots on the path are kept as elements open and close, so each element costs its own slots once,
+    however many blocks stand in it and however deep it is.
+    """
+
+    def __init__(self, weights: list[list[float]]) -> None:
+        self.weights = weights
+        self.open: list[tuple[Node, list[int]]] = []
+        self.held: Counter[int] = Counter()
+        self.sums = [(0.0, 0.0)]
+
+    def _add(self, total: tuple[float, float], slots) -> tuple[float, float]:
+        a, b = total
+        for slot in slots:
+            x, y = self.weights[slot]
+            a, b = a + x, b + y
+        return a, b
+
+    def of(self, node: Node | None) -> tuple[float, float]:
+        new = []
+        at = node
+        while at and not (len(self.open) >= at.depth and self.open[at.depth - 1][0] is at):
+            new.append(at)
+            at = at.parent
+        while len(self.open) > (at.depth if at else 0):
+            self.held.subtract(self.open.pop()[1])
+            self.sums.pop()
+        for one in reversed(new):
+            own = sorted(set(_inherited(one.tag, one.words)))
+            self.sums.append(self._add(self.sums[-1], [s for s in own if self.held[s] <= 0]))
+            self.held.update(own)
+            self.open.append((one, own))
+        near = [(n.tag, n.words) for n, _ in self.open[-2:]]
+        return self._add(self.sums[-1], [s for s in sorted(_near(near, len(self.open))) if self.held[s] <= 0])
+
+
+@dataclass(slots=True)
+class Shown:
+    """A block of a training page, with its path written out."""
+
+    text: str
+    path: tuple
+    links: float
+    start: int
+
+
+def text_slots(block: Block | Shown) -> set[int]:
+    """Slots of a block's own text."""
     words = block.text.split()
     n = len(words)
     found = [
@@ -104,10 +169,14 @@ def block_slots(block: Block) -> list[int]:
         found.append("copyright")
     if n <= SHORT:
         found += [f"word {w.lower()}" for w in _LETTERS.findall(block.text)]
-    return [*_path_slots(block.path), *{_slot(f) for f in found}]
+    return {_slot(f) for f in found}
+
 
+def block_slots(block: Block | Shown) -> list[int]:
+    return [*_path_slots(block.path), *text_slots(block)]
 
-def named_article(page: list[Block]) -> list[int] | None:
+
+def named_article(page: list[Shown]) -> list[int] | None:
     """Labels of a page that names its article; None for other pages."""
     inside = [any(tag in _ARTICLE for tag, _ in b.path) for b in page]
     if not any(inside):
@@ -115,13 +184,13 @@ def named_article(page: list[Block]) -> list[int] | None:
     return [int(own and not any(tag in _OTHER for tag, _ in b.path)) for own, b in zip(inside, page, strict=True)]
 
 
-def versions(page: list[Block], labels: list[int], texts: list[str], rng: np.random.Generator) -> Iterator[tuple[list[Block], list[int]]]:
+def versions(page: list[Shown], labels: list[int], texts: list[str], rng: np.random.Generator) -> Iterator[tuple[list[Shown], list[int]]]:
     """The page with another container for its article, and with other blocks around and in it."""
 
     def some(options):
         return options[int(rng.integers(len(options)))]
 
-    def extra(kind: int, base: tuple) -> list[Block]:
+    def extra(kind: int, base: tuple) -> list[Shown]:
         name, tags, words = KINDS[kind]
         place = (*base, (some(tags), tuple(some(words).split())))
         made = []
@@ -133,7 +202,7 @@ def versions(page: list[Block], labels: list[int], texts: list[str], rng: np.ran
             else:
                 text = some(texts)
             linked = 1.0 if name in ("menu", "share") or rng.random() < 0.2 else 0.0
-            made.append(Block(text or "-", inner, linked, 0))
+            made.append(Shown(text or "-", inner, linked, 0))
         return made
 
     for number in range(VERSIONS):
@@ -154,7 +223,7 @@ def versions(page: list[Block], labels: list[int], texts: list[str], rng: np.ran
                 new = extra(kind, base if inside else base[:1])
                 out += new
                 marks += [0] * len(new)
-            out.append(Block(b.text, moved(b.path), b.links, b.start))
+            out.append(Shown(b.text, moved(b.path), b.links, b.start))
             marks.append(k)
         for where in (base[:1], base):
             new = extra(int(rng.integers(len(KINDS))), where)
@@ -168,7 +237,7 @@ def _sums(scores: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(scores - top).sum(axis=axis))
 
 
-def fitted(pages: list[tuple[list[Block], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+def fitted(pages: list[tuple[list[Shown], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """Weights by slot and state, and transitions (rows: from not kept, kept, start; columns: to)."""
     weights, moves = np.zeros((SLOTS, 2)), np.zeros((3, 2))
     pages = [p for p in pages if p[0]]
@@ -240,13 +309,11 @@ def viterbi(scores: list[tuple[float, float]], moves: list[list[float]]) -> list
     return out[::-1]
 
 
-def decoded(page: list[Block], weights: np.ndarray, moves: list[list[float]]) -> list[int]:
-    if not page:
-        return []
-    rows = [block_slots(b) for b in page]
-    sizes = np.array([len(r) for r in rows])
-    scores = np.add.reduceat(weights[np.concatenate(rows)], np.cumsum(sizes) - sizes, axis=0)
-    return viterbi([tuple(s) for s in scores.tolist()], moves)
+def decoded(page: list[Block], weights: list[list[float]], moves: list[list[float]]) -> list[int]:
+    scores, own = [], Scores(weights)
+    for block in page:
+        scores.append(own._add(own.of(block.node), sorted(text_slots(block))))
+    return viterbi(scores, moves)
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> tuple[bytes, list[list[float]]]:
@@ -259,7 +326,10 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> tuple[bytes, list[list[floa
         known = []
         for batch in batches:
             for page in batch["html"].to_pylist():
-                made = blocks(page)
+                found = blocks(page)
+                if len(found) > MOST_BLOCKS or any(b.node and b.node.depth > DEEPEST for b in found):
+                    continue
+                made = [Shown(b.text, b.path, b.links, b.start) for b in found]
                 if labels := named_article(made):
                     known.append((made, labels))
         texts = [b.text for page, _ in known for b in page] or ["-"]
@@ -280,7 +350,7 @@ def extracted(pages: DataFrame, model: tuple[bytes, list[list[float]]]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, moves = sent.value
-        weights = np.frombuffer(raw, "<f4").astype(float).reshape(SLOTS, 2)
+        weights = np.frombuffer(raw, "<f4").astype(float).reshape(SLOTS, 2).tolist()
         for batch in batches:
             texts = []
             for page in batch["html"]:

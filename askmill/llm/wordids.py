@@ -2,7 +2,8 @@
 
 Both vocabularies split a text into words before they merge, and no word reaches over white space. So a
 text's ids are its words' ids in a row, and only words not yet met go through the tokenizer, many of
-them in one call. Texts whose white space isn't plain go to the tokenizer whole.
+them in one call. Texts whose white space isn't plain, and those that hold an added token such as an end mark, go to the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -51,6 +53,8 @@ class WordIds:
         return np.asarray(ids, self.width).tobytes()
 
     def _words(self, text: str) -> list[str] | None:
+        if self.added and self.added.search(text):
+            return None
         if self.drops:
             return None if _LOOSE.search(text) else text.split()
         return None if _SPACED.search(text) else _PIECES.findall(text)

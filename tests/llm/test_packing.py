@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 from askmill.llm import packing
+from askmill.llm.queries import WORD_BPE, op4_packing
 
 
 def test_groups_hold_no_full_windows(spark, monkeypatch):
@@ -23,3 +30,33 @@ def test_groups_hold_no_full_windows(spark, monkeypatch):
         assert r.offset == loads.get(r.sequence_id, 0)
         loads[r.sequence_id] = r.offset + r.length
     assert sorted(loads) == list(range(len(loads))) and max(loads.values()) <= 2048
+
+
+def test_pieces_hold_the_ids_of_the_plain_call(spark):
+    texts = [None, "", "one <|endoftext|> two", "<|startoftext|>", "a\u00a0b  c", "word " * 9000, "x" * 7000, "tail"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {n: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for n, t in enumerate(texts)}
+    got = {}
+    for r in packing.pieces(docs, WORD_BPE).collect():
+        ids = [int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4)]
+        assert len(ids) == r.length and r.doc_tokens == len(want[r.doc_id])
+        got.setdefault(r.doc_id, []).append((r.start, ids))
+    assert {n: [i for _, ids in sorted(parts) for i in ids] for n, parts in got.items()} == want
+    for parts in got.values():
+        at = 0
+        for start, ids in sorted(parts):
+            assert start == at
+            at += len(ids)
+
+
+def test_query_on_the_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: [*plain.encode(r.text or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    covered = dict.fromkeys(want, 0)
+    for r in sorted(op4_packing(spark, folder).collect(), key=lambda r: (r.doc_id, r.start)):
+        own = want[r.doc_id][r.start : r.start + r.length]
+        assert r.start == covered[r.doc_id] and r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+        covered[r.doc_id] += r.length
+    assert covered == {n: len(ids) for n, ids in want.items()}

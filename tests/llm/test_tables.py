@@ -37,7 +37,6 @@ def texts_of(df):
 
 def encoded(path, text, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
