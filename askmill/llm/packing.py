@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askmill.llm.frames import running_totals, stored
-from askmill.llm.wordids import word_ids
+from askmill.llm.wordids import CACHED_WORDS, word_ids
 
 CAPACITY = 2048
 #: Longest piece of what remains of a document after its full windows: with several pieces to a window
@@ -37,10 +37,12 @@ GROUP_WINDOWS = 128
 _PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, deal bigint"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, cached: int = CACHED_WORDS
+) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids: the ids as little-endian unsigned 32-bit integers.
 
-    `deal` differs from row to row; it deals pieces out to groups.
+    `deal` differs from row to row; it deals pieces out to groups. `cached` words are kept by each Python worker.
     """
 
     def cut(n: int) -> Iterator[tuple[int, int]]:
@@ -49,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         yield from ((a, min(piece, n - a)) for a in range(full, n, piece))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, deal = word_ids(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, deal = word_ids(tokenizer, cached), TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in batched(zip(batch["doc_id"].to_pylist(), batch["text"], strict=True), 512):
                 rows = []

@@ -97,6 +97,6 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, cached: int = CACHED_WORDS) -> WordIds:
     """One encoder for each tokenizer file and Python worker."""
-    return WordIds(path)
+    return WordIds(path, cached)
