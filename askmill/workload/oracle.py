@@ -29,6 +29,7 @@ def oracle(name: str, uses: str, sql: str, recursive: bool = False) -> None:
 
 WORDS = r"'[\p{L}\p{Nd}_]+'"
 PIECES = r"'([\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_]+)'"
+# The patterns whose matches the results are defined by.
 VERSION = r"'(?i)((javac?)|(jdk)) ?(v(ersion)?)? ?1.([1-9])(.[\d_]+)?'"
 LANG = r"'java\.lang\.([a-zA-Z]+(Exception|Bounds|Error))'"
 IO = r"'java\.io\.([a-zA-Z]+(Exception|Error))'"

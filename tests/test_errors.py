@@ -7,6 +7,7 @@ from askmill.schemas import STAT
 
 MESSAGE = "run_id string, category string, pos int, text string"
 
+# Texts and the results they must give.
 GOLDEN = [
     (
         "(java.lang.IllegalArgumentException)here abcdjava 1.7 banana jdk1.8.6_1\njava.io.IOError geography",
