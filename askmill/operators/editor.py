@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askmill.plans.ordered import looking_back
+from askmill.plans.ordered import last_known, looking_back
 from askmill.schemas import SETTING_FLAGS
 
 WINDOW = 25  # fixed value: events looked at
@@ -41,17 +41,64 @@ def classify_editor_events(raw: DataFrame) -> DataFrame:
 def settings_gate(events: DataFrame, settings: DataFrame, flag: str) -> DataFrame:
     """Pass the events of users who have both automatic queries and `flag` on.
 
-    A user without settings has everything on. `events` may be a stream.
+    A user without settings has everything on. `events` may be a stream. Settings with a column ts are
+    the changes of users' settings (see `in_force`): those in force at an event's instant count.
     """
-    if flag not in SETTING_FLAGS:
-        raise ValueError(f"unknown setting {flag!r}")
+    if "ts" in settings.columns:
+        return in_force(events, settings, has_on(flag), True)
     # only the users who have switched something off have to be known
-    off = settings.where(
-        ~(F.coalesce("auto_query", F.lit(True)) & F.coalesce(flag, F.lit(True)))
-    ).select("user_id")
+    off = settings.where(~has_on(flag)).select("user_id")
     return events.join(off, "user_id", "left_anti")
 
 
+def window_gate(events: DataFrame, visible: DataFrame) -> DataFrame:
+    """Pass the events of users whose tool window is open.
+
+    `visible` has those users; with a column ts it has user_id, ts, seq and a boolean `visible`, the
+    times when windows were opened or closed. A window is closed until it is opened.
+    """
+    if "ts" in visible.columns:
+        return in_force(events, visible, F.col("visible"), False)
+    return events.join(visible.select("user_id"), "user_id", "left_semi")
+
+
+def has_on(flag: str) -> Column:
+    """Whether a row of settings has both automatic queries and `flag` on."""
+    if flag not in SETTING_FLAGS:
+        raise ValueError(f"unknown setting {flag!r}")
+    return F.coalesce("auto_query", F.lit(True)) & F.coalesce(flag, F.lit(True))
+
+
+def in_force(events: DataFrame, changes: DataFrame, value: Column, default: bool) -> DataFrame:
+    """Pass the events at whose instant the last change of their user made `value` true.
+
+    Events have user_id and ts; changes user_id, ts and seq, which orders the changes of an instant.
+    Instants are milliseconds, as in the machines, and a change counts for events of its own. Before a user's first change, and for a null value,
+    `default` counts. Both go through one ordered pass per user, in which a hot user is cut into slices.
+    """
+    row = F.struct(*events.columns)
+    state = F.coalesce(value, F.lit(default))
+    none = F.lit(None)
+    happened = events.select(
+        "user_id",
+        F.unix_millis("ts").alias("_at"),
+        none.cast("long").alias("_seq"),
+        none.cast("boolean").alias("_state"),
+        row.alias("_row"),
+    )
+    changed = changes.select(
+        "user_id",
+        F.unix_millis("ts").alias("_at"),
+        F.col("seq").cast("long").alias("_seq"),
+        state.alias("_state"),
+        none.cast(happened.schema["_row"].dataType).alias("_row"),
+    )
+    both = happened.unionByName(changed).withColumn("_event", F.col("_row").isNotNull())
+    order = ["_at", "_event", "_seq"]
+    known = last_known(both, ["user_id"], order, F.col("_state"), "_now")
+    return known.where(F.col("_event") & F.coalesce("_now", F.lit(default))).select("_row.*")
+
+
 def event_mix(
     events: DataFrame, keys: Sequence[str] = ("user_id",), n: int = WINDOW
 ) -> DataFrame:

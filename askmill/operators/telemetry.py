@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askmill.functions.text import hash_tags
 from askmill.operators.difficulty import TRANSITION
-from askmill.operators.editor import settings_gate
+from askmill.operators.editor import settings_gate, window_gate
 from askmill.plans.ordered import last_known
 from askmill.schemas import SETTING_FLAGS
 
@@ -63,18 +65,20 @@ def result_events(clicks: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def difficulty_events(log: DataFrame, settings: DataFrame, visible: DataFrame) -> DataFrame:
-    """Log lines of the difficulty machine as event bodies.
+def difficulty_events(
+    log: DataFrame, settings: DataFrame, visible: DataFrame, keys: Sequence[str] = ("user_id",)
+) -> DataFrame:
+    """Log lines of the difficulty machine as event bodies, with the keys of the machines.
 
     A trigger is logged only where the tool window is open and difficulty detection is on;
-    transitions always are.
+    transitions always are. With a key `project`, telemetry lines have its code.
     """
     moves = log.where(F.col("event") == TRANSITION)
     triggers = log.where(F.col("event") != TRANSITION)
-    shown = triggers.join(visible.select("user_id"), "user_id", "left_semi")
+    shown = window_gate(triggers, visible)
     lines = moves.unionByName(settings_gate(shown, settings, "difficulty"))
     return lines.select(
-        "user_id",
+        *keys,
         "ts",
         "event_id",
         F.col("event").alias("DifficultyEventType"),

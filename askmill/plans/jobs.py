@@ -2,54 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askmill.operators import contexts as cx
 from askmill.operators import difficulty as di
 from askmill.operators import errors as er
-from askmill.operators.editor import classify_editor_events, settings_gate
+from askmill.operators.editor import classify_editor_events, settings_gate, window_gate
 from askmill.operators.personal import personal_ranks
 from askmill.operators.posts import SORT_WORDS, excerpt_posts
 from askmill.operators.requests import normalise_requests
-from askmill.operators.search import Index, search_with_backoff
+from askmill.operators.search import Index, error_search, search_with_backoff
 from askmill.plans.ordered import hot_keys, row_number
 from askmill.session import stored
 
 auto_query = cx.auto_query
 
 
+USER_RUN = ("run_id", "user_id")
+
+
 def compile_error_queries(
-    messages: DataFrame, settings: DataFrame, stats: DataFrame, **options: str
+    messages: DataFrame,
+    settings: DataFrame,
+    stats: DataFrame,
+    *,
+    keys: Sequence[str] = ("run_id",),
+    **options: str,
 ) -> DataFrame:
     """Queries of the failed compilations of users who have compile errors on.
 
-    Columns run_id, user_id, category, pos, text.
+    Columns run_id, user_id, category, pos, text; gives the keys, first_line and keywords.
     """
     allowed = settings_gate(messages, settings, "compile_error")
-    return er.error_queries(er.failed_compilations(allowed), stats, er.COMPILE, **options)
+    return er.error_queries(allowed, stats, er.COMPILE, keys=keys, **options)
 
 
-def runtime_messages(console: DataFrame, settings: DataFrame) -> DataFrame:
-    """Console lines of the failed runs of users who have runtime errors on, as messages.
+def line_messages(lines: DataFrame) -> DataFrame:
+    """Console lines as messages; run_id is `console_id:run`.
 
-    run_id is `console_id:run`. All patterns and tokens lie within a line, so one message per line
-    gives the same queries as the whole text.
+    All patterns and tokens lie within a line, so one message per line gives the same queries as the
+    whole text.
     """
-    lines = er.console_lines(settings_gate(console, settings, "runtime_error"))
+    user = ["user_id"] if "user_id" in lines.columns else []
     return lines.select(
         F.concat_ws(":", "console_id", "run").alias("run_id"),
+        *user,
         "category",
         F.col("line_no").alias("pos"),
         "text",
     )
 
 
+def runtime_messages(
+    console: DataFrame, settings: DataFrame, consoles: Sequence[str] = ("console_id",)
+) -> DataFrame:
+    """Console lines of the failed runs of users who have runtime errors on, as messages."""
+    allowed = settings_gate(console, settings, "runtime_error")
+    return line_messages(er.console_lines(allowed, consoles))
+
+
 def runtime_error_queries(
-    console: DataFrame, settings: DataFrame, stats: DataFrame, **options: str
+    console: DataFrame,
+    settings: DataFrame,
+    stats: DataFrame,
+    *,
+    keys: Sequence[str] = ("run_id",),
+    **options: str,
 ) -> DataFrame:
-    """Queries of failed console runs: run_id, first_line, keywords."""
-    return er.error_queries(runtime_messages(console, settings), stats, er.RUNTIME, **options)
+    """Queries of failed console runs: the keys, first_line, keywords."""
+    consoles = ["console_id", *(key for key in keys if key != "run_id")]
+    messages = runtime_messages(console, settings, consoles)
+    return er.error_queries(messages, stats, er.RUNTIME, keys=keys, **options)
 
 
 def _sort_key(sort: Column) -> Column:
@@ -71,22 +97,90 @@ def personalised_search(
     index: Index,
     profile: DataFrame,
     tag_stats: DataFrame,
-    *,
-    open_mark: str = "<pre>",
-    close_mark: str = "</pre>",
+    **marks: str,
 ) -> DataFrame:
     """Ranked, excerpted results of every request.
 
     Requests have request_id, user_id, q, tags, sort and backoff (automatic requests back off). Posts
     have post_id, title, body, tags, votes, created, active; `index` is their `index_posts`.
-    A request sorted by relevance is re-ranked by its user's tag profile; any other keeps its order.
-    Ranks are found on narrow rows; excerpts are cut in the posts' own rows and join last, so bodies
-    never travel.
     """
     ready = normalise_requests(requests).withColumn("q", F.col("clean_q"))
-    found = search_with_backoff(ready, index).where(F.col("post_id").isNotNull())
+    found = search_with_backoff(ready, index)
+    return ranked_results(found, ready, posts, profile, tag_stats, **marks)
+
+
+def error_results(
+    errors: DataFrame,
+    visible: DataFrame,
+    posts: DataFrame,
+    index: Index,
+    profile: DataFrame,
+    tag_stats: DataFrame,
+    **marks: str,
+) -> DataFrame:
+    """Ranked, excerpted results of the errors of users whose tool window is open.
+
+    Errors have run_id, user_id, first_line and keywords: the first line is searched for, and where it
+    finds nothing the keywords; there is no back-off. The request_id is the run_id.
+    """
+    shown = stored(window_gate(errors, visible), "errors")
+    found = error_search(shown, index).withColumnRenamed("run_id", "request_id")
+    asked = shown.select(F.col("run_id").alias("request_id"), "user_id", F.lit("relevance").alias("sort"))
+    return ranked_results(found, asked, posts, profile, tag_stats, **marks)
+
+
+def compile_error_search(
+    messages: DataFrame,
+    settings: DataFrame,
+    visible: DataFrame,
+    stats: DataFrame,
+    posts: DataFrame,
+    index: Index,
+    profile: DataFrame,
+    tag_stats: DataFrame,
+    **marks: str,
+) -> DataFrame:
+    """From compiler messages to the ranked results of every failed compilation."""
+    errors = compile_error_queries(messages, settings, stats, keys=USER_RUN)
+    return error_results(errors, visible, posts, index, profile, tag_stats, **marks)
+
+
+def runtime_error_search(
+    console: DataFrame,
+    settings: DataFrame,
+    visible: DataFrame,
+    stats: DataFrame,
+    posts: DataFrame,
+    index: Index,
+    profile: DataFrame,
+    tag_stats: DataFrame,
+    **marks: str,
+) -> DataFrame:
+    """From console output to the ranked results of every failed run."""
+    errors = runtime_error_queries(console, settings, stats, keys=USER_RUN)
+    return error_results(errors, visible, posts, index, profile, tag_stats, **marks)
+
+
+def ranked_results(
+    found: DataFrame,
+    requests: DataFrame,
+    posts: DataFrame,
+    profile: DataFrame,
+    tag_stats: DataFrame,
+    *,
+    open_mark: str = "<pre>",
+    close_mark: str = "</pre>",
+) -> DataFrame:
+    """What requests have found, in order and excerpted.
+
+    `found` has request_id, query, post_id (null where nothing was found) and relevance, requests have
+    request_id, user_id and sort. A request sorted by relevance is re-ranked by its user's tag profile;
+    any other keeps its order. Ranks are found on narrow rows; excerpts are cut in the posts' own rows
+    and join last, so bodies never travel.
+    """
+    found = found.where(F.col("post_id").isNotNull())
     facts = posts.select("post_id", "tags", "votes", "created", "active")
-    asked = ready.select("request_id", "user_id", "sort")
+    asked = requests.select("request_id", "user_id", "sort")
     # written once: every rank below reads it
     listed = stored(found.join(facts, "post_id").join(asked, "request_id"), "listed")
     hot = hot_keys(listed, ["request_id"])
@@ -128,15 +222,18 @@ def difficulty_to_search(
     doc_count: Column,
     profile: DataFrame,
     tag_stats: DataFrame,
+    keys: Sequence[str] = ("user_id",),
     **marks: str,
 ) -> DataFrame:
     """From raw editor actions to the ranked results of the searches they set off.
 
-    The request_id is `user_id:event_id` of the trigger. Contexts without terms search for nothing.
+    `keys` hold user_id and say whose events make up one machine, such as those of a user in a project;
+    raw actions and contexts have them. The request_id is the keys and event_id of the trigger between
+    colons. Contexts without terms search for nothing.
     """
     events = classify_editor_events(raw)
-    triggers = di.difficulty_triggers(di.detect_difficulty(events))
-    stuck = di.difficulty_queries(triggers, contexts, settings, visible)
+    triggers = di.difficulty_triggers(di.detect_difficulty(events, keys), keys)
+    stuck = di.difficulty_queries(triggers, contexts, settings, visible, keys)
     requests = stored(trigger_requests(stuck, stats, doc_count), "requests")
     return personalised_search(requests, posts, index, profile, tag_stats, **marks)
 
@@ -144,12 +241,13 @@ def difficulty_to_search(
 def trigger_requests(stuck: DataFrame, stats: DataFrame, doc_count: Column) -> DataFrame:
     """Automatic requests for the contexts of `difficulty_queries`.
 
-    A context_id starts with the user, so the user needs no join.
+    The user is part of what names a context on the way, so it needs no join.
     """
-    queries = cx.auto_query(stuck, stats, doc_count).where(F.col("query") != "")
+    named = stuck.withColumn("context", F.struct("context_id", "user_id"))
+    queries = cx.auto_query(named, stats, doc_count, "context").where(F.col("query") != "")
     return queries.select(
-        F.col("context_id").alias("request_id"),
-        F.substring_index("context_id", ":", 1).cast("long").alias("user_id"),
+        F.col("context.context_id").alias("request_id"),
+        "context.user_id",
         F.col("query").alias("q"),
         F.array().cast("array<string>").alias("tags"),
         F.lit("relevance").alias("sort"),

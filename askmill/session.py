@@ -67,4 +67,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table, inside the checkpoint folder all executors share."""
-    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_checkpoint_folder(spark)}/{shared_name(name)}"
+
+
+def shared_name(name: str) -> str:
+    """A folder name of its own."""
+    return f"{name}-{uuid.uuid4().hex}"

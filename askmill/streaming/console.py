@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -20,9 +20,11 @@ _CATEGORY = {"ERROR_OUTPUT": "ERROR", "SYSTEM": "INFORMATION"}
 class ConsoleMachine(OrderedMachine):
     row_schema = "ts_ms long, seq long, content_type string, chunk string"
     columns = ["ts_ms", "seq", "content_type", "chunk"]
-    out_columns = ["console_id", "run", "category", "line_no", "text"]
     order = 2
 
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.out_columns = [*keys, "run", "category", "line_no", "text"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.written = handle.getListState("written", "category string, chunk string")
@@ -61,19 +63,24 @@ class ConsoleMachine(OrderedMachine):
 
 
 def console_lines_stream(
-    console: DataFrame, settings: DataFrame | None = None, lateness: str = LATENESS
+    console: DataFrame,
+    settings: DataFrame | None = None,
+    lateness: str = LATENESS,
+    keys: Sequence[str] = ("console_id",),
 ) -> DataFrame:
     """Lines of each console run with an error, once it has ended: the stream form of console_lines.
 
     Chunks are ordered by (ts, seq), and a run stays in state until its exit line. Sets the session's
-    state store to RocksDB. With `settings`, users who have runtime errors off are left out.
+    state store to RocksDB. With `settings`, users who have runtime errors off are left out. `keys` say
+    what a console is; with user_id among them, lines have their user.
     """
     console.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     allowed = console if settings is None else settings_gate(console, settings, "runtime_error")
     rows = allowed.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
-    return rows.groupBy("console_id").transformWithStateInPandas(
-        statefulProcessor=ConsoleMachine(),
-        outputStructType="console_id long, run long, category string, line_no long, text string",
+    kinds = ", ".join(f"`{k}` {console.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=ConsoleMachine(keys),
+        outputStructType=f"{kinds}, run long, category string, line_no long, text string",
         outputMode="append",
         timeMode="eventtime",
     )

@@ -135,6 +135,10 @@ for name in ("read_log_batches", "log_batch_stream"):
     oracle(name, "query_events", """SELECT user_id::VARCHAR "User", QueryEventType, sort, count(*) events,
     sum(CASE WHEN Tags IS NULL THEN NULL ELSE n_tags END)::BIGINT tags FROM query_events GROUP BY ALL""")
 
+for name in ("log_events_once", "log_events_once_stream"):
+    oracle(name, "query_events", 'SELECT user_id::VARCHAR "User", QueryEventType, Tags, sort FROM query_events')
+oracle("dead_letters", "", """SELECT DISTINCT '{"Logs": [{"User":"' || user_id || '"' AS value FROM events""")
+
 block("messages_raw", "", """SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') run_id, user_id, event_id, event_type,
     CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARNING' ELSE 'INFORMATION' END category,
     ['small', 'zzz', 'ring', 'cold', 'anvil', 'red', 'yyy'][event_id % 7 + 1] word, props FROM events""")
@@ -224,6 +228,22 @@ block("editor", "kinds", editor(1))
 block("editor_fast", "kinds", editor(10_000))
 block("editor_slow", "kinds", editor(50))
 oracle("settings_gate", "editor settings", f"SELECT * FROM editor WHERE {gate('runtime_error')}")
+block("setting_changes", "", """SELECT user_id, epoch_us(ts) ts, event_id seq, event_id % 9 > 0 auto_query, event_id % 3 > 0 runtime_error,
+    event_id % 4 > 0 difficulty FROM events WHERE event_type = 'purchase'""")
+block("window_changes", "", """SELECT user_id, epoch_us(ts) ts, event_id seq, event_id % 7 > 0 AND event_id % 3 > 0 visible
+    FROM events WHERE event_type = 'signup'""")
+
+
+def as_of(value: str, changes: str, default: str, event: str = "e") -> str:
+    return f"""coalesce((SELECT arg_max({value}, (c.ts // 1000, c.seq)) FROM {changes} c
+        WHERE c.user_id = {event}.user_id AND c.ts // 1000 <= {event}.ts // 1000), {default})"""
+
+
+AS_OF = as_of("auto_query AND runtime_error", "setting_changes", "TRUE")
+oracle("settings_gate_as_of", "editor setting_changes", f"SELECT * FROM editor e WHERE {AS_OF}")
+oracle("settings_gate_as_of_stream", "editor setting_changes", f"""SELECT * FROM editor e WHERE {AS_OF} AND ts // 1000 <=
+    least((SELECT max(ts) // 1000 FROM editor), (SELECT max(ts) // 1000 FROM setting_changes))""")
+oracle("window_gate_as_of", "editor window_changes", f"SELECT * FROM editor e WHERE {as_of('visible', 'window_changes', 'FALSE')}")
 oracle("strip_comments", "sources", r"""SELECT file_id,
     regexp_replace(text, '(//[^\n]*\n)|(/\*[^\r]*?\*/)', '', 'g') AS text FROM sources""")
 oracle("extract_imports", "context_base", r"""SELECT file_id, array_to_string(list_filter(found, lambda x, i:
@@ -637,6 +657,12 @@ block("stuck", "d_fired event_contexts generous visible", f"""SELECT user_id ||
     WHERE user_id IN (SELECT user_id FROM visible) AND {gate('difficulty', 'generous')}""")
 oracle("difficulty_queries", "stuck", "SELECT * FROM stuck")
 
+oracle("difficulty_queries_as_of", "d_fired editor event_contexts setting_changes window_changes", f"""
+    SELECT user_id || ':' || event_id context_id, user_id, event_id, text, caret_line, selected
+    FROM (SELECT DISTINCT e.user_id, e.event_id, e.ts FROM d_fired JOIN editor e USING (user_id, event_id)) t
+    JOIN event_contexts USING (user_id, event_id)
+    WHERE {as_of('visible', 'window_changes', 'FALSE', 't')} AND {as_of('auto_query AND difficulty', 'setting_changes', 'TRUE', 't')}""")
+
 # telemetry
 
 oracle("query_events", "query_events", "SELECT user_id, seq, QueryEventType, Tags, sort, Visible FROM query_events")
@@ -673,13 +699,12 @@ block("doc_tag_tokens", "", "SELECT doc_id, unnest([lang, source]) term FROM doc
 block("doc_tag_stats", "doc_tag_tokens", stats_of("doc_tag_tokens", "documents"))
 
 
-def search_blocks(prefix: str, requests: str, posts: str, postings: str, stats: str, profile: str, tags: str, marks: tuple) -> str:
-    """Blocks for ranked and excerpted results; the last one is `<prefix>ranked`."""
-    backoff_blocks(prefix, f"{prefix}requests", posts, postings, stats)
-    block(f"{prefix}listed", f"{prefix}found {requests} {posts}", f"""SELECT f.request_id, f.query, f.post_id, r.user_id, r.sort, p.tags, p.title,
+def ranked_blocks(prefix: str, found: str, requests: str, posts: str, profile: str, tags: str, marks: tuple) -> str:
+    """Blocks for what requests have found, ranked and excerpted; the last one is `<prefix>ranked`."""
+    block(f"{prefix}listed", f"{found} {requests} {posts}", f"""SELECT f.request_id, f.query, f.post_id, r.user_id, r.sort, p.tags, p.title,
         row_number() OVER (PARTITION BY f.request_id ORDER BY CASE r.sort WHEN 'votes' THEN p.votes WHEN 'newest' THEN p.created
           WHEN 'active' THEN p.active ELSE round(f.relevance, 9) END DESC, f.post_id) - 1 position
-        FROM {prefix}found f JOIN {requests} r USING (request_id) JOIN {posts} p USING (post_id)""")
+        FROM {found} f JOIN {requests} r USING (request_id) JOIN {posts} p USING (post_id)""")
     block(f"{prefix}personal", f"{prefix}listed",
           f"SELECT request_id, user_id, post_id, position, tags FROM {prefix}listed WHERE sort = 'relevance'")
     rank_blocks(prefix, f"{prefix}personal", profile, tags)
@@ -692,31 +717,83 @@ def search_blocks(prefix: str, requests: str, posts: str, postings: str, stats:
     return f"{prefix}ranked"
 
 
+def search_blocks(prefix: str, requests: str, posts: str, postings: str, stats: str, profile: str, tags: str, marks: tuple) -> str:
+    """The same for requests that back off."""
+    found = backoff_blocks(prefix, f"{prefix}requests", posts, postings, stats)
+    return ranked_blocks(prefix, found, requests, posts, profile, tags, marks)
+
+
 block("x_requests", "ready", "SELECT request_id, clean_q q, tags, backoff FROM ready")
 oracle("personalised_search",
        search_blocks("x_", "ready", "posts", "doc_postings", "doc_terms", "doc_profile", "doc_tag_stats", ("the", "and")),
        "SELECT * FROM x_ranked")
 
-block("y_in", "classified", "SELECT user_id, event_id, ts, kind FROM classified")
-machine_blocks("z_", "y_in")
-block("z_stuck", "z_fired event_contexts generous visible", f"""SELECT user_id || ':' || event_id context_id, user_id, text, caret_line
-    FROM (SELECT DISTINCT user_id, event_id FROM z_fired) JOIN event_contexts USING (user_id, event_id)
-    WHERE user_id IN (SELECT user_id FROM visible) AND {gate('difficulty', 'generous')}""")
-block("z_terms", "z_stuck", rf"""
-    SELECT context_id, unnest(string_split(lower(imported), '.')) term FROM (SELECT context_id,
-      unnest(regexp_extract_all(text, 'import\s+([\w.]*\w);', 1)) imported FROM z_stuck)
-    UNION SELECT context_id, unnest(CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(lower(line), {PIECES}) END)
-    FROM (SELECT context_id, string_split(text, chr(10))[caret_line + 1] line FROM z_stuck) WHERE line IS NOT NULL""")
-block("z_scores", "z_terms name_stats", f"""SELECT context_id, term, coalesce({SCQ}, 0) + coalesce({SCQ} / (SELECT count(*) FROM part), 0)
-    + coalesce(ictf, 0) + coalesce(idf, 0) score FROM z_terms LEFT JOIN name_stats USING (term)""")
-block("z_queries", "z_scores", """SELECT context_id, string_agg(term, ' ' ORDER BY place) query FROM (SELECT *, row_number() OVER
-    (PARTITION BY context_id ORDER BY score DESC, term) place FROM z_scores) WHERE place <= 4 GROUP BY context_id""")
-block("z_ready", "z_queries", """SELECT context_id request_id, string_split(context_id, ':')[1]::BIGINT user_id, query q,
-    'relevance' sort FROM z_queries WHERE query <> ''""")
-block("v_requests", "z_ready", "SELECT request_id, q, []::VARCHAR[] tags, TRUE backoff FROM z_ready")
+block("error_posts", "parts", f"""SELECT post_id, title, body, tags, votes, created, active,
+      regexp_extract_all(lower(title || chr(10) || body), {WORDS}) post_terms
+    FROM (SELECT * REPLACE ('Compile error, runtime error: IOException IllegalStateException, java ' || (votes % 9 + 1)
+      || coalesce('; ' || body, '') AS body, coalesce(tags, []::VARCHAR[]) AS tags) FROM parts)""")
+index_blocks("err_", "error_posts")
+
+
+def error_blocks(prefix: str, errors: str) -> str:
+    """Blocks for the ranked results of (run_id, user_id, first_line, keywords); the last one is `<prefix>ranked`."""
+    block(f"{prefix}shown", f"{errors} visible", f"""SELECT run_id request_id, user_id, 'relevance' sort, first_line, keywords
+        FROM {errors} WHERE user_id IN (SELECT user_id FROM visible)""")
+    block(f"{prefix}lines", f"{prefix}shown", f"SELECT request_id, 0 step, first_line q, []::VARCHAR[] tags FROM {prefix}shown")
+    match_blocks(f"{prefix}l", f"{prefix}lines", "error_posts", "err_postings", "err_terms")
+    block(f"{prefix}words", f"{prefix}shown", f"SELECT request_id, 0 step, keywords q, []::VARCHAR[] tags FROM {prefix}shown")
+    match_blocks(f"{prefix}w", f"{prefix}words", "error_posts", "err_postings", "err_terms")
+    block(f"{prefix}found", f"{prefix}lmatches {prefix}wmatches", f"""
+        SELECT request_id, first_line query, post_id, relevance FROM {prefix}shown JOIN {prefix}lmatches USING (request_id)
+        UNION ALL SELECT request_id, keywords, post_id, relevance FROM {prefix}shown JOIN {prefix}wmatches USING (request_id)
+        WHERE request_id NOT IN (SELECT request_id FROM {prefix}lmatches)""")
+    return ranked_blocks(prefix, f"{prefix}found", f"{prefix}shown", "error_posts", "part_profile", "tag_stats", ("<pre>", "</pre>"))
+
+
+block("compile_errors", "j_keywords gated_messages", """SELECT run_id, keywords, any_value(user_id) user_id,
+    replace(string_split(arg_min(text, pos) FILTER (category = 'ERROR'), chr(10))[1], ':', '') first_line
+    FROM j_keywords JOIN gated_messages USING (run_id) GROUP BY ALL""")
+oracle("compile_error_search", error_blocks("ce_", "compile_errors"), "SELECT * FROM ce_ranked")
+block("runtime_errors", "k_keywords run_messages", """SELECT run_id, keywords, string_split(run_id, ':')[1]::BIGINT user_id,
+    replace(string_split(text, chr(10))[1], ':', '') first_line
+    FROM k_keywords JOIN run_messages USING (run_id) WHERE category = 'ERROR'""")
+oracle("runtime_error_search", error_blocks("re_", "runtime_errors"), "SELECT * FROM re_ranked")
+
 block("part_posts", "parts", f"""SELECT post_id, title, coalesce(body, '') body, coalesce(tags, []::VARCHAR[]) tags, votes, created, active,
     regexp_extract_all(lower(title || chr(10) || coalesce(body, '')), {WORDS}) post_terms FROM parts""")
 index_blocks("part_", "part_posts")
-oracle("difficulty_to_search",
-       search_blocks("v_", "z_ready", "part_posts", "part_postings", "part_terms", "part_profile", "tag_stats", ("<pre>", "</pre>")),
-       "SELECT * FROM v_ranked")
+PROJECT = "'p' || (event_id // 500 % 2)"
+
+
+def stuck_blocks(prefix: str, who: str, user: str) -> str:
+    """Blocks from raw edits to ranked results, with a machine for each `who`; the last one is `<prefix>vranked`."""
+    block(f"{prefix}y", "classified", f"SELECT {who} user_id, event_id, ts, kind FROM classified")
+    machine_blocks(prefix, f"{prefix}y")
+    block(f"{prefix}stuck", f"{prefix}fired event_contexts generous visible", f"""SELECT * FROM (
+        SELECT f.user_id || ':' || event_id context_id, {user.format("f.user_id")} user_id, text, caret_line
+        FROM (SELECT DISTINCT user_id, event_id FROM {prefix}fired) f JOIN event_contexts c USING (event_id))
+        WHERE user_id IN (SELECT user_id FROM visible) AND {gate('difficulty', 'generous')}""")
+    block(f"{prefix}terms", f"{prefix}stuck", rf"""
+        SELECT context_id, user_id, unnest(string_split(lower(imported), '.')) term FROM (SELECT context_id, user_id,
+          unnest(regexp_extract_all(text, 'import\s+([\w.]*\w);', 1)) imported FROM {prefix}stuck)
+        UNION SELECT context_id, user_id, unnest(CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(lower(line), {PIECES}) END)
+        FROM (SELECT context_id, user_id, string_split(text, chr(10))[caret_line + 1] line FROM {prefix}stuck) WHERE line IS NOT NULL""")
+    block(f"{prefix}scored", f"{prefix}terms name_stats", f"""SELECT context_id, user_id, term, coalesce({SCQ}, 0)
+        + coalesce({SCQ} / (SELECT count(*) FROM part), 0) + coalesce(ictf, 0) + coalesce(idf, 0) score
+        FROM {prefix}terms LEFT JOIN name_stats USING (term)""")
+    block(f"{prefix}ready", f"{prefix}scored", f"""SELECT * FROM (SELECT context_id request_id, user_id, string_agg(term, ' ' ORDER BY place) q,
+        'relevance' sort FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY score DESC, term) place FROM {prefix}scored)
+        WHERE place <= 4 GROUP BY context_id, user_id) WHERE q <> ''""")
+    block(f"{prefix}vrequests", f"{prefix}ready", f"SELECT request_id, q, []::VARCHAR[] tags, TRUE backoff FROM {prefix}ready")
+    marks = ("<pre>", "</pre>")
+    return search_blocks(f"{prefix}v", f"{prefix}ready", "part_posts", "part_postings", "part_terms", "part_profile", "tag_stats", marks)
+
+
+oracle("difficulty_to_search", stuck_blocks("z_", "user_id", "{}"), "SELECT * FROM z_vranked")
+oracle("difficulty_to_search_by_project",
+       stuck_blocks("zp_", f"{PROJECT} || ':' || user_id", "string_split({}, ':')[2]::BIGINT"), "SELECT * FROM zp_vranked")
+block("pe_y", "editor", f"SELECT {PROJECT} || ':' || user_id user_id, event_id, ts, kind FROM editor")
+oracle("difficulty_events_by_project", f"{machine_blocks('pe_', 'pe_y')} generous visible", f"""SELECT * FROM (
+      SELECT string_split(user_id, ':')[1] project, string_split(user_id, ':')[2]::BIGINT user_id, ts, event_id,
+        event DifficultyEventType, state "State", scroll, click, "insert", "delete" FROM pe_log)
+    WHERE DifficultyEventType = 'transition' OR user_id IN (SELECT user_id FROM visible) AND {gate('difficulty', 'generous')}""")

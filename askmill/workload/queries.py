@@ -30,6 +30,7 @@ from askmill.sources import stats_xml, streams
 from askmill.sources import telemetry as tl
 from askmill.streaming import sinks
 from askmill.streaming.console import console_lines_stream
+from askmill.streaming.gates import settings_gate_stream
 from askmill.streaming.profile import effective_interactions_stream
 from askmill.streaming.state import detect_difficulty_stream as _difficulty_stream
 from askmill.workload.tables import Tables
@@ -175,6 +176,35 @@ def log_batch_stream(t: Tables) -> DataFrame:
     return _counted(_drained(t, tl.log_batch_stream(t.spark, _envelopes(t))))
 
 
+def _repeated_envelopes(t: Tables) -> str:
+    """The envelopes, all of them sent twice and torn once."""
+    path = _envelopes(t)
+    lines = stored(t.spark.read.text(path), "sent")
+    lines.write.mode("append").text(path)
+    lines.select(F.substring_index("value", ",", 1)).write.mode("append").text(path)
+    return path
+
+
+def _sent(events: DataFrame) -> DataFrame:
+    return _joined(events.select("User", "QueryEventType", F.col("Tags").cast("array<string>"), "sort"), "Tags")
+
+
+@query
+def log_events_once(t: Tables) -> DataFrame:
+    return _sent(tl.events_once(tl.read_envelopes(t.spark, _repeated_envelopes(t))))
+
+
+@query
+def log_events_once_stream(t: Tables) -> DataFrame:
+    stream = tl.envelope_stream(t.spark, _repeated_envelopes(t), files_per_trigger=4)
+    return _sent(_drained(t, tl.events_once(stream)))
+
+
+@query
+def dead_letters(t: Tables) -> DataFrame:
+    return tl.dead_letters(tl.read_envelopes(t.spark, _repeated_envelopes(t))).select("value")
+
+
 @query
 def console_stream(t: Tables) -> DataFrame:
     """The console's chunks through the reader of its stream."""
@@ -261,6 +291,23 @@ def settings_gate(t: Tables) -> DataFrame:
     return _micros(ed.settings_gate(t.editor_events(), t.settings(), "runtime_error"), "ts")
 
 
+@query
+def settings_gate_as_of(t: Tables) -> DataFrame:
+    return _micros(ed.settings_gate(t.editor_events(), t.setting_changes(), "runtime_error"), "ts")
+
+
+@query
+def settings_gate_as_of_stream(t: Tables) -> DataFrame:
+    """Events and changes as two streams; what neither has passed still waits."""
+    passed = settings_gate_stream(_streamed(t, "editor_events"), _streamed(t, "setting_changes"), "runtime_error", "0 seconds")
+    return _micros(_drained(t, passed), "ts")
+
+
+@query
+def window_gate_as_of(t: Tables) -> DataFrame:
+    return _micros(ed.window_gate(t.editor_events(), t.window_changes()), "ts")
+
+
 @query
 def strip_comments(t: Tables) -> DataFrame:
     return t.sources().select("file_id", tx.strip_comments(F.col("text")).alias("text"))
@@ -633,6 +680,13 @@ def difficulty_queries(t: Tables) -> DataFrame:
     return di.difficulty_queries(triggers, _event_contexts(t), t.generous_settings(), t.visible())
 
 
+@query
+def difficulty_queries_as_of(t: Tables) -> DataFrame:
+    """Triggers by the settings and windows of their instant."""
+    triggers = di.difficulty_triggers(di.detect_difficulty(t.editor_events()))
+    return di.difficulty_queries(triggers, _event_contexts(t), t.setting_changes(), t.window_changes())
+
+
 # telemetry
 
 
@@ -653,6 +707,15 @@ def difficulty_events(t: Tables) -> DataFrame:
     return _log(te.difficulty_events(log, t.generous_settings(), t.visible()))
 
 
+PROJECT_KEYS = ["project", "user_id"]
+
+
+@query
+def difficulty_events_by_project(t: Tables) -> DataFrame:
+    log = di.detect_difficulty(t.editor_events().withColumn("project", t.project()), PROJECT_KEYS)
+    return _log(te.difficulty_events(log, t.generous_settings(), t.visible(), PROJECT_KEYS))
+
+
 @query
 def settings_events(t: Tables) -> DataFrame:
     return te.settings_events(t.settings())
@@ -699,12 +762,48 @@ def personalised_search(t: Tables) -> DataFrame:
     return _rounded(found, "score")
 
 
+def _error_search(t: Tables, job: Callable[..., DataFrame], messages: DataFrame, settings: DataFrame) -> DataFrame:
+    posts = stored(t.error_posts(), "posts")
+    found = job(
+        messages,
+        settings,
+        t.visible(),
+        stored(_part_stats(t), "stats"),
+        posts,
+        se.index_posts(posts),
+        stored(pe.tag_profile(t.clicks_on_parts()), "profile"),
+        stored(_tag_stats(t), "tags"),
+    )
+    return _rounded(found, "score")
+
+
+@query
+def compile_error_search(t: Tables) -> DataFrame:
+    return _error_search(t, jobs.compile_error_search, t.compiler_messages(), t.settings())
+
+
+@query
+def runtime_error_search(t: Tables) -> DataFrame:
+    return _error_search(t, jobs.runtime_error_search, t.console(), t.generous_settings())
+
+
 @query
 def difficulty_to_search(t: Tables) -> DataFrame:
+    return _searched_when_stuck(t, t.raw_edits(), _event_contexts(t), ["user_id"])
+
+
+@query
+def difficulty_to_search_by_project(t: Tables) -> DataFrame:
+    """The same for each project of a user apart."""
+    raw, contexts = (df.withColumn("project", t.project()) for df in (t.raw_edits(), _event_contexts(t)))
+    return _searched_when_stuck(t, raw, contexts, PROJECT_KEYS)
+
+
+def _searched_when_stuck(t: Tables, raw: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
     posts = t.part_posts().withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     found = jobs.difficulty_to_search(
-        t.raw_edits(),
-        _event_contexts(t),
+        raw,
+        contexts,
         t.generous_settings(),
         t.visible(),
         posts,
@@ -713,5 +812,6 @@ def difficulty_to_search(t: Tables) -> DataFrame:
         t.read("part").select(F.count(F.lit(1))).scalar(),
         stored(pe.tag_profile(t.clicks_on_parts()), "profile"),
         stored(_tag_stats(t), "tags"),
+        keys=keys,
     )
     return _rounded(found, "score")

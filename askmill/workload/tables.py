@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askmill.plans.ordered import row_number
 from askmill.session import spread
 
+PROJECT_RUN = 500  # events in a row at one project
 START = "2024-01-01 00:00:00"  # earliest second of the event table
 
 
@@ -242,6 +243,31 @@ class Tables:
     def visible(self) -> DataFrame:
         return self.events().where(F.col("user_id") % 4 > 0).select("user_id").distinct()
 
+    def setting_changes(self) -> DataFrame:
+        """Settings as users change them in time: their purchases."""
+        number = F.col("event_id")
+        flags = {"auto_query": 9, "runtime_error": 3, "compile_error": 5, "difficulty": 4, "logging": 11}
+        return self.events().where(F.col("event_type") == "purchase").select(
+            "user_id", "ts", number.alias("seq"), *[(number % n > 0).alias(flag) for flag, n in flags.items()]
+        )
+
+    def window_changes(self) -> DataFrame:
+        """Tool windows opened and closed in time: users' signups; some say nothing."""
+        number = F.col("event_id")
+        return self.events().where(F.col("event_type") == "signup").select(
+            "user_id", "ts", number.alias("seq"), F.when(number % 7 > 0, number % 3 > 0).alias("visible")
+        )
+
+    def project(self) -> Column:
+        """The project of an event: a user works at two in turn."""
+        return F.concat(F.lit("p"), F.call_function("div", F.col("event_id"), F.lit(PROJECT_RUN)) % 2)
+
+    def error_posts(self) -> DataFrame:
+        """Parts as posts about errors."""
+        body = F.concat(F.lit("Compile error, runtime error: IOException IllegalStateException, java "), F.col("votes") % 9 + 1)
+        tags = F.coalesce("tags", F.array().cast("array<string>"))
+        return self.part_posts().withColumns({"body": F.concat_ws("; ", body, "body"), "tags": tags})
+
     def console(self) -> DataFrame:
         kind = F.col("event_type")
         error = F.concat(
