@@ -136,7 +136,11 @@ for name in ("read_log_batches", "log_batch_stream"):
     sum(CASE WHEN Tags IS NULL THEN NULL ELSE n_tags END)::BIGINT tags FROM query_events GROUP BY ALL""")
 
 for name in ("log_events_once", "log_events_once_stream"):
-    oracle(name, "query_events", 'SELECT user_id::VARCHAR "User", QueryEventType, Tags, sort FROM query_events')
+    # of a user's envelopes, those of equal text are one
+    oracle(name, "query_events", """SELECT user_id::VARCHAR "User", e.QueryEventType, e.Tags, e.sort FROM (
+      SELECT user_id, unnest(logs) e FROM (SELECT DISTINCT user_id, logs FROM (
+        SELECT user_id, list({'QueryEventType': QueryEventType, 'Tags': Tags, 'sort': sort} ORDER BY seq) logs
+        FROM query_events GROUP BY user_id, seq // 50)))""")
 oracle("dead_letters", "", """SELECT DISTINCT '{"Logs": [{"User":"' || user_id || '"' AS value FROM events""")
 
 block("messages_raw", "", """SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') run_id, user_id, event_id, event_type,
