@@ -13,13 +13,65 @@ from collections.abc import Generator, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 from askmill.operators.difficulty import LOG_SCHEMA, fold_events, next_timer, run_timers
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LATENESS = "10 minutes"
 FRAME = 10_000
+#: Milliseconds of event time whose waiting rows are held, read and dropped together.
+BUCKET = 60_000
+
+
+class WaitingRows:
+    """Rows of a key that wait, in a map by time bucket and part.
+
+    A micro-batch adds a part to the buckets its rows fall in, and reads only buckets that hold a row now due.
+    Nothing is rewritten: a bucket the watermark stands in is read again, without the rows already taken, and
+    goes once the watermark is past it. `held` says of each bucket how many parts it has and which of its rows
+    is due next; it is the caller's to keep.
+    """
+
+    def __init__(self, parts: MapState, held: dict[str, list[int]] | None, taken: int) -> None:
+        self.parts = parts
+        self.held = {int(bucket): (n, first) for bucket, (n, first) in (held or {}).items()}
+        self.taken = taken
+
+    @property
+    def first(self) -> int | None:
+        return min((first for _, first in self.held.values()), default=None)
+
+    def add(self, rows: list[tuple]) -> None:
+        """Rows that come after the time of the last `due`."""
+        buckets: dict[int, list[tuple]] = {}
+        for row in rows:
+            buckets.setdefault(row[0] // BUCKET, []).append(row)
+        for bucket, own in buckets.items():
+            n, first = self.held.get(bucket, (0, own[0][0]))
+            for start in range(0, len(own), FRAME):
+                self.parts.updateValue((bucket, n), (own[start : start + FRAME],))
+                n += 1
+            self.held[bucket] = (n, min(first, min(row[0] for row in own)))
+
+    def due(self, now: int) -> list[tuple]:
+        """Rows up to `now` that have not been taken yet."""
+        out: list[tuple] = []
+        for bucket in sorted(b for b, (_, first) in self.held.items() if first <= now):
+            n, rest = self.held.pop(bucket)[0], []
+            for part in range(n):
+                for row in map(tuple, self.parts.getValue((bucket, part))[0]):
+                    if row[0] > now:
+                        rest.append(row[0])
+                    elif row[0] > self.taken:
+                        out.append(row)
+            if rest:
+                self.held[bucket] = (n, min(rest))
+            else:
+                for part in range(n):
+                    self.parts.removeKey((bucket, part))
+        self.taken = max(now, self.taken)
+        return out
 
 
 class OrderedMachine(StatefulProcessor):
@@ -42,7 +94,12 @@ class OrderedMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.machine = handle.getValueState("machine", "json string")
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.waiting = handle.getMapState(
+            "waiting", "bucket long, part long", f"rows array<struct<{self._fields()}>>"
+        )
+
+    def _fields(self) -> str:
+        return ", ".join(":".join(field.split()) for field in self.row_schema.split(","))
 
     def close(self) -> None:
         pass
@@ -60,27 +117,18 @@ class OrderedMachine(StatefulProcessor):
 
     def _advance(self, key: tuple, fresh: list[tuple], now: int) -> Iterator[pd.DataFrame]:
         kept = json.loads(self.machine.get()[0]) if self.machine.exists() else {}
-        first = kept.get("first")  # of the rows that wait
-        opened = first is not None and first <= now
-        held = [tuple(row) for row in self.waiting.get()] if opened else []
-        ready, later = [], []
-        for row in [*held, *fresh]:
-            (ready if row[0] <= now else later).append(row)
+        waiting = WaitingRows(self.waiting, kept.get("held"), kept.get("taken", -1))
+        ready = waiting.due(now) + [row for row in fresh if row[0] <= now]
+        waiting.add([row for row in fresh if row[0] > now])
         lines = self.fold(sorted(ready, key=lambda row: row[: self.order]), kept.get("state"), now)
         state = yield from self._frames(key, lines)
-        if opened and later:
-            self.waiting.put(later)
-        elif opened:
-            self.waiting.clear()
-        elif later:  # what waits stays as it is
-            self.waiting.appendList(later)
-        first = min([row[0] for row in later] + ([] if opened or first is None else [first]), default=None)
-        due = first
+        due = waiting.first
         wake = self.wake_at(state)
         if wake is not None and (due is None or wake < due):
             due = wake
         self._set_timer(kept.get("timer"), due, now)
-        self.machine.update((json.dumps({"state": state, "first": first, "timer": due}),))
+        kept = {"state": state, "held": waiting.held, "taken": waiting.taken, "timer": due}
+        self.machine.update((json.dumps(kept),))
 
     def _frames(self, key: tuple, lines: Generator[tuple, None, dict]) -> Generator[pd.DataFrame, None, dict]:
         """Frames of at most `FRAME` rows; returns what the fold returns."""
