@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -62,6 +63,86 @@ class ConsoleMachine(OrderedMachine):
             yield run, category, number, "".join(pieces)
 
 
+class SilentConsoleMachine(ConsoleMachine):
+    """Holds little: a run that is silent for `silence` milliseconds, or long, is sent on as chunks.
+
+    Rows are of three kinds: `line`, of runs that ended while all of theirs was held; `chunk`, numbered within
+    its run; and `ended`, for a failed run some of whose chunks were sent on.
+    """
+
+    def __init__(self, keys: Sequence[str], silence: int, hold: int) -> None:
+        self.out_columns = [*keys, "kind", "run", "category", "no", "text"]
+        self.silence, self.hold = silence, hold
+
+    def fold(self, rows: list[tuple], state: dict | None, now: int) -> Iterator[tuple]:
+        state = state or {"run": 0, "failed": False, "sent": 0, "held": 0, "last": None}
+        fresh: list[tuple] = []
+        for ts, _, content_type, chunk in rows:
+            if content_type == "SYSTEM" and _EXIT.fullmatch(chunk):
+                if state["failed"] and state["sent"]:
+                    yield from self._sent(state, fresh)
+                    yield "ended", state["run"], None, None, None
+                elif state["failed"]:
+                    for run, category, number, text in self._lines(state["run"], fresh):
+                        yield "line", run, category, number, text
+                self.written.clear()
+                fresh = []
+                state = {"run": state["run"] + 1, "failed": False, "sent": 0, "held": 0, "last": None}
+            elif content_type in _CATEGORY:
+                category = _CATEGORY[content_type]
+                state["failed"] = state["failed"] or category == "ERROR"
+                fresh.append((category, chunk))
+                state["last"] = ts
+                if state["held"] + len(fresh) >= self.hold:
+                    yield from self._sent(state, fresh)
+                    fresh = []
+        if fresh:
+            self.written.appendList(fresh)
+            state["held"] += len(fresh)
+        if state["held"] and state["last"] + self.silence <= now:
+            yield from self._sent(state, [])
+        return state
+
+    def wake_at(self, state: dict | None) -> int | None:
+        return state["last"] + self.silence if state and state["held"] else None
+
+    def _sent(self, state: dict, fresh: list[tuple]) -> Iterator[tuple]:
+        """The held and fresh chunks, as rows; none is held after."""
+        for category, chunk in chain(map(tuple, self.written.get()) if state["held"] else (), fresh):
+            yield "chunk", state["run"], category, state["sent"], chunk
+            state["sent"] += 1
+        self.written.clear()
+        state["held"] = 0
+
+
+def _consoles(console: DataFrame, settings: DataFrame | None, lateness: str) -> DataFrame:
+    console.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    allowed = console if settings is None else settings_gate(console, settings, "runtime_error")
+    return allowed.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
+
+
+def console_rows_stream(
+    console: DataFrame,
+    settings: DataFrame | None = None,
+    lateness: str = LATENESS,
+    keys: Sequence[str] = ("console_id",),
+    silence: timedelta = timedelta(hours=1),
+    hold: int = 10_000,
+) -> DataFrame:
+    """Rows for `sinks.keep_console_lines`: lines, and chunks of runs that are silent or long.
+
+    A run without output for `silence` of event time, or with `hold` chunks, leaves state and goes on as chunks:
+    keys, kind, run, category, no, text. Sets the session's state store to RocksDB.
+    """
+    kinds = ", ".join(f"`{k}` {console.schema[k].dataType.simpleString()}" for k in keys)
+    return _consoles(console, settings, lateness).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=SilentConsoleMachine(keys, silence // timedelta(milliseconds=1), hold),
+        outputStructType=f"{kinds}, kind string, run long, category string, no long, text string",
+        outputMode="append",
+        timeMode="eventtime",
+    )
+
+
 def console_lines_stream(
     console: DataFrame,
     settings: DataFrame | None = None,
@@ -74,11 +155,8 @@ def console_lines_stream(
     state store to RocksDB. With `settings`, users who have runtime errors off are left out. `keys` say
     what a console is; with user_id among them, lines have their user.
     """
-    console.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    allowed = console if settings is None else settings_gate(console, settings, "runtime_error")
-    rows = allowed.withWatermark("ts", lateness).withColumn("ts_ms", F.unix_millis("ts"))
     kinds = ", ".join(f"`{k}` {console.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    return _consoles(console, settings, lateness).groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=ConsoleMachine(keys),
         outputStructType=f"{kinds}, run long, category string, line_no long, text string",
         outputMode="append",

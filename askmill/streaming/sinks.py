@@ -14,6 +14,7 @@ from askmill.operators.difficulty import difficulty_queries, difficulty_triggers
 from askmill.operators.personal import tag_profile
 from askmill.operators.search import Index, error_search
 from askmill.plans.jobs import USER_RUN, error_results, line_messages, personalised_search, trigger_requests
+from askmill.plans.ordered import hot_keys
 from askmill.session import shared_name, stored
 
 Sink = Callable[[DataFrame, int], None]
@@ -164,3 +165,64 @@ def rank_runtime_errors(
         sink(error_results(queries, visible, posts, index, profile, tag_stats, **marks), batch)
 
     return lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(search).start()
+
+
+def _console_schemas(keys: dict[str, str]) -> tuple[str, str]:
+    given = ", ".join(f"`{k}` {kind}" for k, kind in keys.items())
+    return (
+        f"{given}, run long, category string, no long, text string, batch long, kind string, bucket int",
+        f"{given}, run long, category string, line_no long, text string, batch long",
+    )
+
+
+def keep_console_lines(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    keys: Sequence[str] = ("console_id",),
+    buckets: int = 64,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Keep the lines of failed console runs under `path`, from `console_rows_stream`.
+
+    A micro-batch's rows are written once, to a folder of their own that a repeated batch overwrites. Chunks of
+    silent and long runs lie in folders by bucket of their console; the end of such a run, however late,
+    fetches them from the buckets it needs and writes the lines. `console_lines_at` reads both.
+    """
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
+    steps, _ = _console_schemas(kinds)
+    names = list(kinds)
+
+    def write(fresh: DataFrame, batch: int) -> None:
+        spark = fresh.sparkSession
+        own = F.when(F.col("kind") == "chunk", F.pmod(F.hash(*names), F.lit(buckets))).otherwise(F.lit(-1))
+        here = f"{path}/rows/batch={batch}"
+        laid = fresh.withColumn("bucket", own)
+        laid.write.mode("overwrite").partitionBy("kind", "bucket").parquet(here)
+        whole = _table(spark, f"{path}/rows", steps)
+        ended = whole.where((F.col("batch") == batch) & (F.col("kind") == "ended")).select(*names, "run")
+        ended = stored(ended.withColumn("bucket", F.pmod(F.hash(*names), F.lit(buckets))), "ended")
+        if ended.isEmpty():
+            return
+        # at most `buckets` numbers: they prune the folders that are read
+        needed = [r["bucket"] for r in ended.select("bucket").distinct().collect()]
+        chunks = whole.where((F.col("kind") == "chunk") & F.col("bucket").isin(needed) & (F.col("batch") <= batch))
+        met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*names, "run")]
+        told = ended.select(*(F.col(k).alias(f"_{k}") for k in (*names, "run")))
+        chunks = chunks.select(*names, "run", "category", "no", F.col("text").alias("chunk")).join(told, met, "left_semi")
+        made = er.chunk_lines(chunks, names, "no", hot_keys(chunks, names))
+        made.write.mode("overwrite").parquet(f"{path}/fetched/batch={batch}")
+
+    stream = rows.writeStream
+    if available_now:
+        stream = stream.trigger(availableNow=True)
+    return stream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
+
+
+def console_lines_at(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    """The lines kept so far: the keys, run, category, line_no, text. `keys` gives the keys' types."""
+    steps, lines = _console_schemas(keys)
+    kept = _table(spark, f"{path}/rows", steps).where("kind = 'line'").withColumnRenamed("no", "line_no")
+    columns = [*keys, "run", "category", "line_no", "text"]
+    return kept.select(columns).unionByName(_table(spark, f"{path}/fetched", lines).select(columns))

@@ -400,7 +400,8 @@ def run_blocks(prefix: str, console: str) -> str:
 
 
 oracle("console_runs", run_blocks("r_", "console"), "SELECT console_id, run, category, 0 part, text FROM r_texts")
-oracle("runtime_error_stream", "r_texts", """SELECT console_id, run, category, unnest(lines) AS text,
+for name in ("runtime_error_stream", "silent_console_runs"):
+    oracle(name, "r_texts", """SELECT console_id, run, category, unnest(lines) AS text,
     generate_subscripts(lines, 1) - 1 line_no FROM (SELECT *, string_split(text, chr(10)) lines FROM r_texts)""")
 for name, size in (("group_messages", 10_000), ("group_messages_in_parts", 3)):
     oracle(name, "messages", f"""SELECT run_id, (pos // {size})::INT part,

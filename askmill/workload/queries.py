@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from askmill.sources import responses as rs
 from askmill.sources import stats_xml, streams
 from askmill.sources import telemetry as tl
 from askmill.streaming import sinks
-from askmill.streaming.console import console_lines_stream
+from askmill.streaming.console import console_lines_stream, console_rows_stream
 from askmill.streaming.gates import settings_gate_stream
 from askmill.streaming.profile import effective_interactions_stream
 from askmill.streaming.state import detect_difficulty_stream as _difficulty_stream
@@ -651,6 +652,15 @@ def runtime_error_stream(t: Tables) -> DataFrame:
     return _drained(t, console_lines_stream(_streamed(t, "console"), None, "0 seconds"))
 
 
+@query
+def silent_console_runs(t: Tables) -> DataFrame:
+    """The same lines where a run waits on disk once it is silent for a second, or has two chunks."""
+    path = shared_folder(t.spark, "lines")
+    rows = console_rows_stream(_streamed(t, "console"), None, "0 seconds", silence=timedelta(seconds=1), hold=2)
+    sinks.keep_console_lines(rows, path, f"{path}-state", available_now=True).awaitTermination()
+    return sinks.console_lines_at(t.spark, path, {"console_id": t.console().schema["console_id"].dataType.simpleString()})
+
+
 @query
 def tag_profile_stream(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "profile")

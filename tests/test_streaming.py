@@ -1,4 +1,5 @@
 import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from askmill.operators.editor import settings_gate
 from askmill.sources import streams
 from askmill.sources import telemetry as tl
 from askmill.streaming import sinks
-from askmill.streaming.console import console_lines_stream
+from askmill.streaming.console import console_lines_stream, console_rows_stream
 from askmill.streaming.profile import effective_interactions_stream
 from askmill.streaming.state import detect_difficulty_stream
 from askmill.workload.tables import Tables
@@ -139,6 +140,24 @@ def test_console_stream_over_long_gaps(spark, tmp_path):
         assert sorted(map(str, found.collect())) == batch
 
 
+def test_silent_and_long_runs_wait_on_disk(spark, tables, tmp_path):
+    """Lines are those of the batch, whatever leaves state before its run ends, in one micro-batch or many."""
+    console = tables.console().select("console_id", "user_id", "ts", "seq", "content_type", "chunk")
+    batch = sorted(map(str, er.console_lines(console).collect()))
+    for files, silence, hold in ((1, timedelta(days=1), 2), (4, timedelta(milliseconds=1), 10_000), (4, timedelta(minutes=5), 3)):
+        source, out, checkpoint = (str(tmp_path / f"{n}{files}{hold}") for n in ("in", "out", "state"))
+        if files == 1:
+            console.coalesce(1).write.parquet(source)
+        else:
+            in_order(console, source, files)
+        stream = streams.console_stream(spark, source, files_per_trigger=1)
+        rows = console_rows_stream(stream, None, "0 seconds", silence=silence, hold=hold)
+        sinks.keep_console_lines(rows, out, checkpoint, buckets=4, available_now=True).awaitTermination()
+        found = sinks.console_lines_at(spark, out, {"console_id": "long"})
+        assert sorted(map(str, found.select("console_id", "run", "category", "line_no", "text").collect())) == batch
+        assert spark.read.parquet(f"{out}/fetched").count() > 0
+
+
 def test_selection_stream_equals_batch(spark, tables, tmp_path):
     actions = tables.actions().select("user_id", "ts", "seq", "action", "tags")
     source, path, checkpoint = (str(tmp_path / n) for n in ("in", "profile", "state"))
