@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,29 +75,33 @@ SCHEMAS = [
     ("route", "limit", "integer", False),
 ]
 
-# The conversations hold plain turns. Each assistant turn is taken as a call and the user turn after it as
-# its result; lengths decide the parent, the tool, and which arguments are at fault. Both engines read this.
+# The conversations hold plain turns. Each assistant turn is taken as a call and any other turn as the result of
+# the turn before it; lengths decide the parent, the tool, and which arguments are at fault. The whole text, but
+# for what JSON would escape, is an argument. Both engines read this.
 CALLS = """
 SELECT conv_id, turn, concat('c', CAST(turn AS {text})) AS call_id,
   CASE WHEN length(text) % 4 <> 0 THEN concat('c', CAST(turn - 2 AS {text})) END AS parent_id,
   CASE WHEN length(text) % 19 = 0 THEN 'guess' WHEN turn % 3 = 0 THEN 'search' WHEN turn % 3 = 1 THEN 'measure' ELSE 'route' END AS name,
   concat('{{"limit":', CASE WHEN length(text) % 7 = 0 THEN concat('"', CAST(length(text) AS {text}), '"') ELSE CAST(length(text) AS {text}) END,
-    CASE WHEN length(text) % 11 = 0 THEN '' ELSE concat(', "query" : "', regexp_extract(text, '[A-Za-z]+', 0), '"') END,
+    CASE WHEN length(text) % 11 = 0 THEN '' ELSE concat(', "query" : "', regexp_replace(text, '[^A-Za-z0-9 ]', '_'{every}), '"') END,
     CASE WHEN length(text) % 17 = 0 THEN ',"page":1' ELSE '' END,
     ',"exact":', CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END,
     CASE WHEN length(text) % 13 = 0 THEN '' ELSE '}}' END) AS arguments
-FROM conversations WHERE role = 'assistant'
+FROM {turns} WHERE role = 'assistant'
 """
 RESULTS = """
 SELECT conv_id, turn, concat('c', CAST(turn - 1 AS {text})) AS call_id, text AS content
-FROM conversations WHERE role = 'user' AND turn > 0
+FROM {turns} WHERE role IS DISTINCT FROM 'assistant'
 """
 
 
 def op9_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    table(prepare(spark), folder, "conversations").createOrReplaceTempView("conversations")
+    view = f"conversations_{uuid.uuid4().hex}"
+    table(prepare(spark), folder, "conversations").createOrReplaceTempView(view)
     schemas = spark.createDataFrame(SCHEMAS, "name string, parameter string, kind string, required boolean")
-    return tool_calls.linked(spark.sql(CALLS.format(text="STRING")), spark.sql(RESULTS.format(text="STRING")), schemas)
+    calls, results = (spark.sql(q.format(text="STRING", every="", turns=view)) for q in (CALLS, RESULTS))
+    spark.catalog.dropTempView(view)
+    return tool_calls.linked(calls, results, schemas)
 
 
 def op10_collisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,8 +243,8 @@ SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(c.n,
 FROM grown g LEFT JOIN grown p ON p.depth = g.depth - 1 AND p.path = g.above LEFT JOIN children c ON c.depth = g.depth AND c.path = g.path
 """,
     "op9_tool_calls": f"""
-WITH RECURSIVE calls AS ({CALLS.format(text="VARCHAR")}),
-results AS ({RESULTS.format(text="VARCHAR")}),
+WITH RECURSIVE calls AS ({CALLS.format(text="VARCHAR", every=", 'g'", turns="conversations")}),
+results AS ({RESULTS.format(text="VARCHAR", turns="conversations")}),
 rules(name, parameter, kind, required) AS (VALUES {_RULES}),
 parsed AS (SELECT *, CASE WHEN json_valid(arguments) THEN CAST(arguments AS JSON) END AS js FROM calls),
 members AS (SELECT p.conv_id, p.turn, p.name, m.key, m.type, m.value FROM parsed p, json_each(p.js) m WHERE p.js IS NOT NULL),

@@ -8,8 +8,9 @@ longest chain. Ordered by depth, calls before their results, every row follows w
 `position` in the conversation says where. Arguments are JSON objects whose members are compared with the
 tool's schema. Messages are canonical JSON: members in the order of their names, no white space.
 
-Everything is DataFrame functions. Positions are counted in two steps, blocks of turns first, so one
-conversation may hold any share of all rows.
+Everything is DataFrame functions. Positions are counted in two steps: rows are range-partitioned by all that
+orders them, so a conversation, a rank of it or one of its turns may hold any share of all rows; each task
+counts its own range, and a table with one row for each conversation and range says where that starts.
 
 Nulls, empty and repeated rows: rows whose conversation or identifier is null link with nothing. Of calls
 that repeat an identifier in a conversation the first one (least turn, then arguments and name) is linked
@@ -35,8 +36,9 @@ KINDS = {
     "object": "^OBJECT.*$",
     "array": "^ARRAY.*$",
 }
-#: Turns of a conversation that one task puts in order.
-TURNS = 1024
+#: Characters of a message that tell ranges apart. Only different messages alike in all of them, and in all
+#: that goes before them in the order, share a task.
+HEAD = 256
 LAST = 1 << 40
 
 
@@ -66,10 +68,10 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         F.col("name").alias("_name"), F.col("parameter").alias("key"), accepts.alias("accepts"), F.col("required").alias("required")
     )
     needs = rules.groupBy("_name").agg(F.sum(F.col("required").cast("int")).alias("needed"))
-    parsed.createOrReplaceTempView(view := "tool_call_arguments")
     members = calls.sparkSession.sql(
-        f"SELECT row, name, m.key, schema_of_variant(m.value) AS type FROM {view}, LATERAL variant_explode(parsed) m "
-        "WHERE canonical IS NOT NULL"
+        "SELECT row, name, m.key, schema_of_variant(m.value) AS type FROM {parsed}, LATERAL variant_explode(parsed) m "
+        "WHERE canonical IS NOT NULL",
+        parsed=parsed,
     )
     checked = members.join(rules.withColumnRenamed("key", "_key"), (F.col("name") == F.col("_name")) & (F.col("key") == F.col("_key")), "left")
     known = F.col("_key").isNotNull()
@@ -115,20 +117,24 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds position, from 0, of rows(conv_id, rank, turn) within their conversation by rank and `order`."""
-    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / TURNS))
-    key = ["conv_id", "rank", "block"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("conv_id").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in key), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    met = F.col("conv_id").eqNullSafe(F.col("_conv_id"))
-    for k in key[1:]:
-        met = met & (F.col(k) == F.col(f"_{k}"))
-    own = Window.partitionBy(*key).orderBy(*order)
+    """Adds position, from 0, of rows within their conversation by rank and `order`, which ends in message."""
+    head = F.substring(F.coalesce("message", F.lit("")), 1, HEAD)
+    whole = F.length(F.coalesce("message", F.lit(""))) <= HEAD
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "unplaced")
+    # rows alike throughout may stand in any order, so their number can part them; longer messages come after
+    bounds = ["conv_id", "rank", *order[:-1], head, F.when(whole, F.col("row")).otherwise(F.lit(1 << 62))]
+    ranged = stored(rows.repartitionByRange(*bounds).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    met = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("part") == F.col("_part"))
+    own = Window.partitionBy("conv_id", "part").orderBy("rank", *order)
     return (
-        rows.join(counts, met)
+        ranged.join(counts, met)
         .withColumn("position", F.col("before") + F.row_number().over(own) - 1)
-        .drop("before", "block", *(f"_{k}" for k in key))
+        .drop("before", "part", "row", "_conv_id", "_part")
     )
 
 

@@ -176,6 +176,23 @@ def test_tool_calls(spark):
     assert tool_calls.linked(calls.where("false"), results.where("false"), schemas).count() == 0
 
 
+def test_tool_calls_in_one_chain(spark):
+    """All rows in one conversation: a chain of calls, a crowded turn, and many rows alike."""
+    n = 300
+    chain = [(1, i, f"c{i}", f"c{i - 1}" if i else None, "search", '{"limit":1,"query":"x"}') for i in range(n)]
+    calls = spark.createDataFrame(chain, "conv_id long, turn long, call_id string, parent_id string, name string, arguments string")
+    said = [(1, i, f"c{i}", "done") for i in range(n)]
+    crowd = [(1, 5, "lost", "x" * (200 + i % 100) + str(i)) for i in range(200)] + [(1, None, None, "same")] * 500
+    results = spark.createDataFrame(said + crowd, "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame(SCHEMAS, "name string, parameter string, kind string, required boolean")
+    out = sorted(tool_calls.linked(calls, results, schemas).collect(), key=lambda r: r.position)
+    assert [r.position for r in out] == list(range(2 * n + 700))
+    assert [(r.turn, r.kind) for r in out[: 2 * n]] == [(i // 2, "result" if i % 2 else "call") for i in range(2 * n)]
+    rest = [(r.turn is not None, r.turn or 0, r.call_id or "", r.message) for r in out[2 * n :]]
+    assert rest == sorted(rest)
+    assert not [v for v in spark.catalog.listTables() if "conversations" in v.name or "argument" in v.name]
+
+
 def test_collisions(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((30, 16))
