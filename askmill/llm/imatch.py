@@ -260,7 +260,9 @@ def fingerprinted(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFram
 
     order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    made = stored(rows.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, _ROW), "fingerprints")
+    # the row's number parts rows that are alike
+    ranged = rows.repartitionByRange(*order, F.monotonically_increasing_id())
+    made = stored(ranged.sortWithinPartitions(*order).mapInArrow(run, _ROW), "fingerprints")
 
     # One first and one last row for each range that has rows; the last range's next is the first range.
     parts = made.where("edge = 1").select("part")
