@@ -7,8 +7,8 @@ stand in ascending `doc_id` order over all shards.
 
 Index file: one for each bucket of keys. A minimal perfect hash of levels: on each level every key still
 open hashes to one bit of a bit array, keys alone on their bit are settled, the others go on to the next
-level. The rank of its bit is a key's slot. A slot holds the key's fingerprint, its shard, and its first
-document and number of documents there. A lookup reads one bucket's file, tests a bit or two, compares the
+level. The rank of its bit is a key's slot. A slot holds the key's fingerprint, the shard and place of its
+first document, and the shard of its last one and the place after that. A lookup reads one bucket's file, tests a bit or two, compares the
 fingerprint and has the offsets: constant time, with no key stored.
 
 A task writes to a name of its own and only then reports it, and only reported files are read: a task
@@ -16,8 +16,8 @@ that is tried again, or twice at once, does no harm. Files go to the folder of `
 that the caller names, through the file systems that Arrow knows (local and shared folders, HDFS, S3, GCS).
 
 Nulls, empty and repeated rows: a null text is empty and still has its end id; a null `doc_id` is a key
-of its own, first in order. Rows of one `doc_id` stand together, and its entry says how many; their order
-is that of their texts' hashes. An empty table gives no files and no rows. Other columns are not stored.
+of its own, first in order, in a bucket of its own. Rows of one `doc_id` stand in a row, however many shards
+that takes; their order is that of their texts' hashes. An empty table gives no files and no rows. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -43,10 +43,12 @@ from askmill.session import shared_folder
 MAGIC = b"ASKMIDS1"
 #: Keys of one index file, about.
 BUCKET_KEYS = 50_000
+#: Documents of one key that are read in a run.
+READ_ROWS = 1024
 #: Bits for each open key on a level, and levels before what is left is listed.
 GAMMA, LEVELS = 2, 40
 _TRAILER = "<8sQQ"
-_ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("first", "<i8"), ("rows", "<i8")])
+_ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("first", "<i8"), ("last", "<i4"), ("end", "<i8")])
 
 
 def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -161,8 +163,8 @@ class TokenFiles:
 
 
 def key_hash(doc_id: Column) -> Column:
-    """A 64-bit hash, one-to-one on numbers; null takes the place of one number out of 2**64."""
-    return F.when(doc_id.isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(doc_id.cast("long")))
+    """A 64-bit hash, one-to-one on numbers; null stays null."""
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("long")))
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> TokenFiles:
@@ -196,7 +198,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    rows = rows.repartitionByRange(*order[:1]).sortWithinPartitions(*order)
+    # the row's number parts rows that are alike
+    rows = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     written = stored(
         rows.select(key_hash(F.col("doc_id")).alias("key"), "text").mapInArrow(
             shard, "key bigint, shard int, row bigint, file string, ids bigint"
@@ -208,18 +211,21 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
     entries = (
         written.where("file is null")
         .groupBy("key", "shard")
-        .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.min("row").alias("first"), F.max("row").alias("end"))
+        .groupBy("key")
+        .agg(F.min(F.struct("shard", "first")).alias("from"), F.max(F.struct("shard", "end")).alias("to"))
+        .select("key", "from.shard", "from.first", F.col("to.shard").alias("last"), (F.col("to.end") + 1).alias("end"))
     )
     entries = stored(entries, "entries")
     buckets = max(1, -(-entries.count() // BUCKET_KEYS))
 
     def build(rows: pa.Table) -> pa.Table:
-        keys = rows["key"].to_numpy().view(np.uint64)
+        keys = _numbers(rows["key"])
         hash_ = PerfectHash.of(keys)
         slots = np.zeros(hash_.size, _ENTRY)
         at = hash_.slots(keys)
         slots["fingerprint"][at] = fingerprints(keys)
-        for name in ("shard", "first", "rows"):
+        for name in ("shard", "first", "last", "end"):
             slots[name][at] = rows[name].to_numpy()
         bucket = rows["bucket"][0].as_py()
         path, out = _new_file(folder, f"index-{bucket:05d}")
@@ -233,11 +239,17 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
 
 
 def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets).cast("long"))
+    """A bucket from 0; null's is the one after."""
+    return F.when(key.isNull(), F.lit(buckets).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets).cast("long")))
+
+
+def _numbers(keys: pa.ChunkedArray) -> np.ndarray:
+    """Keys of one bucket; null's has no other."""
+    return keys.fill_null(0).to_numpy().view(np.uint64)
 
 
 def lookup(files: TokenFiles, keys: DataFrame) -> DataFrame:
-    """keys(doc_id) with shard, first and rows through the index; keys that are in no file are left out."""
+    """keys(doc_id) with shard, first, last and end through the index; keys that are in no file are left out."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, hash_, slots = None, None, None
@@ -251,20 +263,23 @@ def lookup(files: TokenFiles, keys: DataFrame) -> DataFrame:
                         data = memoryview(source.read())
                     hash_, end = PerfectHash.load(data)
                     slots, path = np.frombuffer(data, _ENTRY, hash_.size, end), file
-                key = some["key"].to_numpy().view(np.uint64)
+                key = _numbers(some["key"])
                 at = hash_.slots(key)
                 known = at >= 0
                 known[known] = slots["fingerprint"][at[known]] == fingerprints(key[known])
                 found = slots[at[known]]
-                yield from some.filter(pa.array(known)).select(["doc_id"]).append_column(
-                    "shard", pa.array(found["shard"])
-                ).append_column("first", pa.array(found["first"])).append_column("rows", pa.array(found["rows"])).to_batches()
+                out = some.filter(pa.array(known)).select(["doc_id"])
+                for name in ("shard", "first", "last", "end"):
+                    out = out.append_column(name, pa.array(found[name]))
+                yield from out.to_batches()
 
     hashed = keys.select(F.col("doc_id").cast("long")).withColumn("key", key_hash(F.col("doc_id")))
     hashed = hashed.withColumn("bucket", _bucket(F.col("key"), files.buckets))
     located = hashed.join(files.index.withColumnRenamed("file", "index_file"), "bucket")
     located = located.repartition("bucket").sortWithinPartitions("bucket")
-    return located.select("doc_id", "key", "index_file").mapInArrow(probe, "doc_id bigint, shard int, first bigint, rows bigint")
+    return located.select("doc_id", "key", "index_file").mapInArrow(
+        probe, "doc_id bigint, shard int, first bigint, last int, end bigint"
+    )
 
 
 def read(files: TokenFiles, found: DataFrame) -> DataFrame:
@@ -281,22 +296,28 @@ def read(files: TokenFiles, found: DataFrame) -> DataFrame:
                 for r in some:
                     if r["file"] != path:
                         path, shard = r["file"], ShardFile(r["file"])
-                    for row in range(r["first"], r["first"] + r["rows"]):
+                    for row in range(r["first"], r["end"]):
                         ids = shard.ids(row)
                         for name, value in zip(out, (r["doc_id"], r["start"] + int(shard.starts[row]), len(ids), ids.astype("<u4").tobytes()), strict=True):
                             out[name].append(value)
                 kinds = {"ids": pa.binary()}
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()})
 
-    placed = found.join(files.shards.select("shard", "file", "start"), "shard")
+    # a row for each shard that holds some of a key's documents, in runs that one task reads
+    here = found.select("doc_id", F.posexplode(F.sequence("shard", "last")).alias("nth", "shard"), "first", "last", "end")
+    here = here.join(files.shards.select("shard", "file", "start", F.col("rows").alias("n")), "shard")
+    first = F.when(F.col("nth") == 0, F.col("first")).otherwise(F.lit(0).cast("long"))
+    end = F.when(F.col("shard") == F.col("last"), F.col("end")).otherwise(F.col("n"))
+    here = here.select("doc_id", "shard", "file", "start", first.alias("first"), end.alias("end")).withColumn(
+        "first", F.explode(F.sequence("first", F.col("end") - 1, F.lit(READ_ROWS).cast("long")))
+    )
+    placed = here.withColumn("end", F.least(F.col("end"), F.col("first") + READ_ROWS))
     placed = placed.repartitionByRange("shard", "first").sortWithinPartitions("shard", "first")
-    return placed.select("doc_id", "file", "first", "rows", "start").mapInArrow(
+    return placed.select("doc_id", "file", "first", "end", "start").mapInArrow(
         load, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
     )
 
 
-
-
 def written_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes the documents and reads every one back through the index."""
     files = write(docs, tokenizer, end_id)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -35,8 +36,13 @@ def texts_of(df):
     return [(r.doc_id, r.text or "") for r in df.collect()]
 
 
+@cache
+def loaded(path):
+    return Tokenizer.from_file(path)
+
+
 def encoded(path, text, end):
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = loaded(path)
     return np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
@@ -108,6 +114,26 @@ def test_token_files(odd, none, tmp_path):
     assert token_files.written_and_read(none, BYTE_BPE).count() == 0
 
 
+def test_token_files_of_one_key(spark, tmp_path):
+    """A key's documents lie in several shards, and so do those without one; -1 is a key like any other."""
+    ids = [7] * 3000 + [None] * 2500 + [-1, 8]
+    docs = spark.createDataFrame([(i, f"text {n % 50}") for n, i in enumerate(ids)], "doc_id long, text string")
+    whole = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(whole, "false")
+    try:
+        files = token_files.write(docs, BYTE_BPE, folder=str(tmp_path / "files"))
+    finally:
+        spark.conf.set(whole, "true")
+    assert files.shards.count() > 3
+    found = token_files.lookup(files, docs.select("doc_id").distinct())
+    assert found.where("last > shard and doc_id = 7").count() == found.where("last > shard and doc_id is null").count() == 1
+    rows = sorted(token_files.read(files, found).collect(), key=lambda r: r.start)
+    want = {f"text {n}": encoded(BYTE_BPE, f"text {n}", 0) for n in range(50)}
+    assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == Counter((i, want[t]) for i, t in texts_of(docs))
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i))
+
+
 def test_simhash(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     by_text = {t: simhash.fingerprint(t) for _, t in texts_of(odd)}
