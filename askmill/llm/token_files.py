@@ -17,7 +17,7 @@ that the caller names, through the file systems that Arrow knows (local and shar
 
 Nulls, empty and repeated rows: a null text is empty and still has its end id; a null `doc_id` is a key
 of its own, first in order, in a bucket of its own. Rows of one `doc_id` stand in a row, however many shards
-that takes; their order is that of their texts' hashes. An empty table gives no files and no rows. Other columns are not stored.
+that takes; their order is that of the rows read, and in a shard that of their texts' hashes. An empty table gives no files and no rows. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -198,8 +198,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None =
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
-    # the row's number parts rows that are alike
-    rows = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    # the row's number parts rows of one key; bounds of these two are sampled without reading texts
+    rows = rows.repartitionByRange(order[0], F.monotonically_increasing_id()).sortWithinPartitions(*order)
     written = stored(
         rows.select(key_hash(F.col("doc_id")).alias("key"), "text").mapInArrow(
             shard, "key bigint, shard int, row bigint, file string, ids bigint"
