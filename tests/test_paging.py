@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from askmill import session
 from askmill.operators import browse, paging
 from askmill.operators import corpus as cp
 from askmill.operators import search as se
@@ -106,6 +107,31 @@ def test_request_table_equals_single_requests(spark):
     assert browse.filter_for_requests(df.limit(0), requests).count() == 0
 
 
+def test_pages_of_requests_read_few_posts(spark, monkeypatch):
+    kept = {}
+
+    def stored(df, name, *folders):
+        table = session.stored(df, name, *folders)
+        kept.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(browse, "stored", stored)
+    monkeypatch.setattr(browse, "CHUNK", 32, raising=False)
+    df = spark.range(3000).selectExpr("id post_id", "array(concat('t', id % 3)) tags", "id % 50 votes", "timestamp_seconds(id) created")
+    requests = spark.range(40).selectExpr(
+        "id request_id", "IF(id % 2 = 0, 'votes', 'creation') sort", "IF(id % 4 < 2, 'asc', 'desc') `order`", "IF(id % 5 = 0, array('t1', 't2'), null) tagged",
+        "IF(id % 5 = 1, 2000L, null) fromdate", "IF(id % 5 = 2, 40D, null) min", "IF(id % 5 = 3, 9D, null) max", "cast(id % 3 + 1 as int) page", "10 pagesize",
+    )
+    got = {(r.request_id, r.position): r.post_id for r in browse.filter_for_requests(df, requests).collect()}
+    want = {}
+    for r in requests.collect():
+        plain = {k: str(int(v) if isinstance(v, float) else v) for k, v in r.asDict().items() if v is not None and k not in ("request_id", "tagged")}
+        for n, post in enumerate(filter_posts(df, plain | ({"tagged": "t1;t2"} if r.tagged else {})).collect()):
+            want[(r.request_id, (r.page - 1) * 10 + n)] = post.post_id
+    assert got == want and len(got) >= 380
+    assert sum(kept["matches"]) <= 40 * 100  # every match of these requests: 70,000
+
+
 def test_occurrences_of_any_term(spark):
     import re
 
