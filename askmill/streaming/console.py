@@ -32,27 +32,33 @@ class ConsoleMachine(OrderedMachine):
 
     def fold(self, rows: list[tuple], state: dict | None, now: int) -> Iterator[tuple]:
         """A run stays open until its exit line, however long that takes."""
-        state = state or {"run": 0, "failed": False}
+        state = state or {"run": 0, "failed": False, "held": False}
         fresh: list[tuple] = []
         for _, _, content_type, chunk in rows:
             if content_type == "SYSTEM" and _EXIT.fullmatch(chunk):
+                held = state.get("held", True)
                 if state["failed"]:
-                    yield from self._lines(state["run"], fresh)
-                self.written.clear()
+                    yield from self._lines(state["run"], fresh, held)
+                if held:
+                    self.written.clear()
                 fresh = []
-                state.update(run=state["run"] + 1, failed=False)
+                state.update(run=state["run"] + 1, failed=False, held=False)
             elif content_type in _CATEGORY:
                 category = _CATEGORY[content_type]
                 state["failed"] = state["failed"] or category == "ERROR"
                 fresh.append((category, chunk))
         if fresh:
             self.written.appendList(fresh)
+            state["held"] = True
         return state
 
-    def _lines(self, run: int, fresh: list[tuple]) -> Iterator[tuple]:
-        """Lines of the run, numbered as its chunks come; only a line still open is held."""
+    def _lines(self, run: int, fresh: list[tuple], held: bool) -> Iterator[tuple]:
+        """Lines of the run, numbered as its chunks come; only a line still open is held.
+
+        State is asked only where it has held chunks: each call goes to the executor and back.
+        """
         open_lines: dict[str, list] = {}
-        for category, chunk in chain(map(tuple, self.written.get()), fresh):
+        for category, chunk in chain(map(tuple, self.written.get()) if held else (), fresh):
             first, *others = chunk.split("\n")
             line = open_lines.setdefault(category, [0, []])
             line[1].append(first)
@@ -83,9 +89,10 @@ class SilentConsoleMachine(ConsoleMachine):
                     yield from self._sent(state, fresh)
                     yield "ended", state["run"], None, None, None
                 elif state["failed"]:
-                    for run, category, number, text in self._lines(state["run"], fresh):
+                    for run, category, number, text in self._lines(state["run"], fresh, bool(state["held"])):
                         yield "line", run, category, number, text
-                self.written.clear()
+                if state["held"]:
+                    self.written.clear()
                 fresh = []
                 state = {"run": state["run"] + 1, "failed": False, "sent": 0, "held": 0, "last": None}
             elif content_type in _CATEGORY:
@@ -111,7 +118,8 @@ class SilentConsoleMachine(ConsoleMachine):
         for category, chunk in chain(map(tuple, self.written.get()) if state["held"] else (), fresh):
             yield "chunk", state["run"], category, state["sent"], chunk
             state["sent"] += 1
-        self.written.clear()
+        if state["held"]:
+            self.written.clear()
         state["held"] = 0
 
 

@@ -22,15 +22,30 @@ LATENESS = "10 minutes"
 FRAME = 10_000
 #: Milliseconds of event time whose waiting rows are held, read and dropped together.
 BUCKET = 60_000
+#: Rows up to so many buckets ahead lie in buckets of that width; further ahead buckets are wider, by powers of two.
+NEAR = 64
+_LEVEL = 1 << 48
+
+
+def _bucket_of(ts: int, now: int) -> int:
+    """The bucket in which a row of `ts` waits: wide if far ahead of `now`, so that a key has few of them."""
+    level = max(0, ((ts - now) // (NEAR * BUCKET)).bit_length())
+    return level * _LEVEL + ts // (BUCKET << level)
+
+
+def _is_wide(bucket: int) -> bool:
+    return bucket >= _LEVEL // 2
 
 
 class WaitingRows:
     """Rows of a key that wait, in a map by time bucket and part.
 
     A micro-batch adds a part to the buckets its rows fall in, and reads only buckets that hold a row now due.
-    Nothing is rewritten: a bucket the watermark stands in is read again, without the rows already taken, and
-    goes once the watermark is past it. `held` says of each bucket how many parts it has and which of its rows
-    is due next; it is the caller's to keep.
+    A bucket of `BUCKET` milliseconds is never rewritten: where the watermark stands in it, it is read again, without
+    the rows already taken, and goes once the watermark is past it. Rows far ahead, as of a table that is taken in
+    at once, lie in wide buckets, so that their number grows with the logarithm of the time ahead and not with the
+    rows; the rest of a wide bucket that the watermark enters moves on to narrower ones. `held` says of each bucket how many
+    parts it has and which of its rows is due next; it is the caller's to keep.
     """
 
     def __init__(self, parts: MapState, held: dict[str, list[int]] | None, taken: int) -> None:
@@ -46,7 +61,7 @@ class WaitingRows:
         """Rows that come after the time of the last `due`."""
         buckets: dict[int, list[tuple]] = {}
         for row in rows:
-            buckets.setdefault(row[0] // BUCKET, []).append(row)
+            buckets.setdefault(_bucket_of(row[0], self.taken), []).append(row)
         for bucket, own in buckets.items():
             n, first = self.held.get(bucket, (0, own[0][0]))
             for start in range(0, len(own), FRAME):
@@ -57,20 +72,23 @@ class WaitingRows:
     def due(self, now: int) -> list[tuple]:
         """Rows up to `now` that have not been taken yet."""
         out: list[tuple] = []
+        moved: list[tuple] = []
         for bucket in sorted(b for b, (_, first) in self.held.items() if first <= now):
             n, rest = self.held.pop(bucket)[0], []
             for part in range(n):
                 for row in map(tuple, self.parts.getValue((bucket, part))[0]):
                     if row[0] > now:
-                        rest.append(row[0])
+                        rest.append(row)
                     elif row[0] > self.taken:
                         out.append(row)
-            if rest:
-                self.held[bucket] = (n, min(rest))
+            if rest and not _is_wide(bucket):
+                self.held[bucket] = (n, min(row[0] for row in rest))
             else:
+                moved += rest
                 for part in range(n):
                     self.parts.removeKey((bucket, part))
         self.taken = max(now, self.taken)
+        self.add(moved)
         return out
 
 

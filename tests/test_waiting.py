@@ -59,3 +59,30 @@ def test_reads_do_not_grow_with_the_rows_held():
 
     assert reads(100)[0] == reads(100_000)[0]
     assert reads(100)[1] == reads(100_000)[1]
+
+
+def test_a_table_taken_in_at_once_lies_in_few_buckets():
+    start = 1_704_067_200_000
+    rows = [(start + 7 * BUCKET * n, n) for n in range(2000)]
+    parts = Parts()
+    waiting = WaitingRows(parts, None, 0)
+    waiting.add(rows)
+    assert len(parts.rows) <= 4
+    assert sorted(waiting.due(rows[-1][0])) == rows
+    assert not parts.rows and waiting.first is None
+
+
+def test_the_rest_of_a_wide_bucket_moves_to_narrower_ones():
+    start = 1_704_067_200_000
+    rows = [(start + 7 * BUCKET * n, n) for n in range(2000)]
+    parts = Parts()
+    waiting = WaitingRows(parts, None, 0)
+    waiting.add(rows)
+    taken = []
+    for n in range(0, 2000, 10):
+        waiting = WaitingRows(parts, {str(k): list(v) for k, v in waiting.held.items()}, waiting.taken)
+        taken += waiting.due(rows[n][0])
+        assert sorted(taken) == rows[: n + 1]
+        assert waiting.first == rows[n + 1][0]
+    # a row moves a few times, however often the watermark moves
+    assert parts.written <= 4 * len(rows) and parts.read <= 8 * len(rows)
