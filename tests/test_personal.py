@@ -6,6 +6,7 @@ import pytest
 from askmill.operators import history as hi
 from askmill.operators import personal as pe
 from askmill.operators.posts import filter_posts, sort_posts
+from askmill.plans import jobs
 from askmill.schemas import STAT
 
 RESULT = "request_id int, user_id int, post_id int, position int, tags array<string>"
@@ -94,3 +95,41 @@ def test_sorts(spark):
     rows = [("r", 1, 5), ("r", 2, 9), ("r", 3, 9), ("r", 4, None)]
     placed = sort_posts(spark.createDataFrame(rows, "request_id string, post_id int, votes int"), "votes")
     assert [r["post_id"] for r in placed.orderBy("position").collect()] == [2, 3, 1, 4]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_results_are_scored_once_for_a_user_and_a_list_of_tags(spark, monkeypatch, repeated):
+    """And ranked as each result on its own would be; posts with one id too take the plain way."""
+    posts = [(p, f"t{p}", "body", [["a", "b"], ["b"], [], None][p % 4], p % 3, p) for p in range(12)]
+    posts += posts[:1] if repeated else []
+    requests = [("r1", 1, "relevance"), ("r2", 1, "relevance"), ("r3", 2, "votes"), ("r4", None, "relevance"), ("r5", 3, None)]
+    ids = [p[0] for p in posts]
+    found = [(r[0], f"q {r[0]}", p, float(p % 5)) for r in requests for p in dict.fromkeys(ids)] + [("r6", "none", None, None)]
+    posts_df = spark.createDataFrame(posts, "post_id long, title string, body string, tags array<string>, votes int, _at long")
+    posts_df = posts_df.selectExpr("post_id", "title", "body", "tags", "votes", "timestamp_seconds(_at) created", "timestamp_seconds(_at) active")
+    requests_df = spark.createDataFrame(requests, "request_id string, user_id long, sort string")
+    found_df = spark.createDataFrame(found, "request_id string, query string, post_id long, relevance double")
+    profile = spark.createDataFrame([(1, "a", 10), (1, "b", 3), (3, "b", 5)], "user_id long, tag string, clicks long")
+    tags = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "term string, idf double")
+    scored, score = [], pe.score_posts_for_user
+    monkeypatch.setattr(pe, "score_posts_for_user", lambda results, *rest: scored.append(results.count()) or score(results, *rest))
+    got = jobs.ranked_results(found_df, requests_df, posts_df, profile, tags).collect()
+    if repeated:
+        assert len(got) > 60
+        return
+    assert scored == [8]  # two users sorted by relevance, four lists each
+    worth = {(1, "a"): 2 * (1 + math.log10(10)), (1, "b"): 1 + math.log10(3), (3, "b"): 1 + math.log10(5)}
+    want = set()
+    for r, user, sort in requests:
+        key = {"relevance": lambda p: (-(p[0] % 5), p[0]), "votes": lambda p: (-p[4], p[0]), None: lambda p: (-(p[0] % 5), p[0])}[sort]
+        listed = sorted(posts, key=key)
+        first = {p[0]: n for n, p in enumerate(listed)}
+        if sort != "relevance":
+            want |= {(r, f"q {r}", sort, n, n, None, p) for p, n in first.items()}
+            continue
+        scores = {p[0]: sum(worth.get((user, t), 0.0) for t in p[3]) / len(p[3]) if p[3] else 0.0 for p in posts}
+        second = {p: n for n, p in enumerate(sorted(first, key=lambda p: (-round(scores[p], 9), first[p])))}
+        third = {p: n for n, p in enumerate(sorted(first, key=lambda p: ((first[p] + second[p]) // 2, second[p])))}
+        want |= {(r, f"q {r}", sort, third[p], first[p], round(scores[p], 9), p) for p in first}
+    rows = {(*x[:5], None if x["score"] is None else round(x["score"], 9), x["post_id"]) for x in got}
+    assert rows == want and len(got) == len(want)
