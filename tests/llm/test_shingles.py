@@ -75,6 +75,43 @@ def test_a_passage_that_many_share_makes_few_candidates(spark):
     assert near <= {(r.a, r.b) for r in pairs} and len(pairs) <= 2 * len(near)
 
 
+def test_copies_of_one_text_join_it_in_the_first_comparison(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for n in range(200):  # similarity 0.81 to 0.9 to the text, mostly below 0.8 to each other
+        words = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            words[at] = f"x{n}_{at}"
+        texts.append(" ".join(words))
+    left, whole = [], shingles.candidates
+    monkeypatch.setattr(shingles, "candidates", lambda apart, *rest: left.append(apart.count()) or whole(apart, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
+    sets = [shingled(t) for t in texts]
+    want = partition(sets, shingles.SIMILARITY)
+    assert len({(want[i], got[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+    assert sum(similarity(sets[0], s) >= 0.8 for s in sets) > 150 and len(left) == 1 and left[0] < 50
+
+
+def test_fingerprints_near_by_anchors_are_candidates(spark):
+    rng = random.Random(6)
+    texts = ["", "one", "one two"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 400))]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join([*words, "end"])]
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    bits = [shingles.set_bits(s) for s in sets]
+    assert bits == [sum(1 << k for k in range(64) if 2 * sum(int(x) >> k & 1 for x in s.tolist()) > len(s)) for s in sets]
+    rows = [(n, b - (1 << 64) if b >> 63 else b) for n, b in enumerate(bits)]
+    near = {(i, j) for j in range(len(bits)) for i in range(j) if (bits[i] ^ bits[j]).bit_count() <= shingles.simhash.DISTANCE}
+    pairs = {(r.a, r.b) for r in shingles.anchored(spark.createDataFrame(rows, "node long, bits long")).collect()}
+    root = list(range(len(bits)))
+    for a, b in sorted(pairs):
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert len(near) > 20 and pairs <= near and all(root[i] == root[j] for i, j in near)
+
+
 def test_stage_links_edited_copies(spark):
     import corpus_pipeline
 
