@@ -14,10 +14,11 @@ from functools import cache
 
 import numpy as np
 
-#: White space that words are not cut at.
-_ODD = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
-_LOOSE = re.compile(f"[{_ODD}]")
-_SPACED = re.compile(f"[{_ODD}\t\r]|[ \n][ \n]| $|^ ")
+#: White space that words are not cut at: in any text, and besides in texts that are not ASCII.
+_ODD = ("\x0b", "\x0c", *map(chr, range(0x1C, 0x20)))
+_WIDE = (*"\x85\xa0\u1680\u180e", *map(chr, range(0x2000, 0x200C)), *"\u2028\u2029\u202f\u205f\u3000\ufeff")
+#: White space that the byte vocabulary's words are not cut at either.
+_RUNS = ("\t", "\r", "\n\n", "\n ", " \n", "  ")
 _PIECES = re.compile("\n| ?[^ \n]+")
 #: Words kept by one Python worker; a word and its ids take about 150 bytes.
 CACHED_WORDS = 1_000_000
@@ -27,6 +28,21 @@ SHORT = 9
 RUN = 128
 
 
+def _loose(text: str) -> bool:
+    return any(c in text for c in _ODD) or not text.isascii() and any(c in text for c in _WIDE)
+
+
+def _spaced(text: str) -> bool:
+    return _loose(text) or text[:1] == " " or text[-1:] == " " or any(c in text for c in _RUNS)
+
+
+def _pieces(text: str) -> list[str]:
+    """Words with the blank before them, and line feeds; there may be empty pieces beside these."""
+    if "\0" in text:
+        return _PIECES.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
 class WordIds:
     """Encodes texts with the tokenizer file at `path`, without special tokens."""
 
@@ -41,7 +57,7 @@ class WordIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cached, self.cache = cached, {}
+        self.cached, self.cache = cached, {"": b""}
         self.drops = len(self._ids("a\nb")) == 2
         self.separator = " | " if self.drops else "\n"
         (self.mark,) = self._ids(self.separator)
@@ -56,8 +72,8 @@ class WordIds:
         if self.added and self.added.search(text):
             return None
         if self.drops:
-            return None if _LOOSE.search(text) else text.split()
-        return None if _SPACED.search(text) else _PIECES.findall(text)
+            return None if _loose(text) else text.split()
+        return None if _spaced(text) else _pieces(text)
 
     def _learn(self, words: set[str]) -> None:
         """Caches the words; they are joined by a separator that stands in none of them."""
@@ -65,7 +81,7 @@ class WordIds:
             return
         if len(self.cache) + len(new) > self.cached:
             short = {w: ids for w, ids in self.cache.items() if len(w) <= SHORT}
-            self.cache = short if len(short) < self.cached // 2 else {}
+            self.cache = short if len(short) < self.cached // 2 else {"": b""}
             new = words.difference(self.cache)
         plain = [w for w in new if "|" not in w and w != "\n"]
         for word in new.difference(plain):

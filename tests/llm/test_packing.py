@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from askmill.llm import packing
+from askmill.llm import packing, wordids
 from askmill.llm.queries import WORD_BPE, op4_packing
 
 
@@ -60,3 +62,21 @@ def test_query_on_the_tables(spark):
         assert r.start == covered[r.doc_id] and r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
         covered[r.doc_id] += r.length
     assert covered == {n: len(ids) for n, ids in want.items()}
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_and_white_space_have_the_ids_of_plain_calls(name):
+    rng = random.Random(8)
+    parts = ["a", "b|", "word", "é", "漢", " ", "  ", "\n", "\t", "\r", "\0", "\x0b", "\x1d", "\x85", "\xa0", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, [4, 1, 4, 1, 1, 8, 0.3, 3, *[0.2] * 9], k=rng.randint(0, 12))) for _ in range(3000)]
+    texts += [None, "", " ", "\n", "\n\n", "a\n", "\na", "\0", "a \0"]
+    encoder = wordids.WordIds(public_tokenizers.path(name), cached=200)
+    plain = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(own, encoder.width).tolist() for own in encoder.encode(texts)] == plain
+    assert sum(encoder._words(t or "") is not None for t in texts) > 500
+
+
+def test_no_pattern_runs_over_plain_texts(monkeypatch):
+    monkeypatch.setattr(wordids, "_PIECES", None)
+    encoder = wordids.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [len(own) // 2 for own in encoder.encode(["one two\nthree"])] == [4]
