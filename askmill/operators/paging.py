@@ -7,6 +7,7 @@ before a posting of it is read, and a block that lacks one of the terms is never
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from askmill.session import stored
 
 PAGE_SIZE = 30  # fixed value
 SLACK = 6e-10  # relevances tie to nine digits
+WIDER = 8
 
 
 @dataclass(frozen=True)
@@ -56,9 +58,10 @@ def first_pages(requests: DataFrame, paged: PagedIndex, width: int = 1) -> tuple
     post_id, relevance and has_more, sorted by relevance and post_id as `match_posts` would be; the second
     request_id, blocks (that hold all terms) and blocks_read.
 
-    Each round reads the best `width` blocks of every open request, then twice as many. A request keeps the
-    posts up to the end of its page and one more. Blocks that can't bring one of these any more are dropped;
-    where none is left the page is final.
+    The first round reads the best `width` blocks of every request, the second `WIDER` times as many, and the
+    third all that are left. A request keeps the posts up to the end of its page and one more. Blocks that can't
+    bring one of these any more are dropped after each round, so the last reads those only that still may. The
+    rounds don't grow with the blocks, and read the postings of the rarest terms alone, copied once.
     """
     asked = se._asked(requests).withColumn("last_step", F.lit(0))
     drivers = stored(se._drivers(se._needs(asked, paged.index), paged.index), "drivers")
@@ -69,21 +72,23 @@ def first_pages(requests: DataFrame, paged: PagedIndex, width: int = 1) -> tuple
     ).withColumn("kept", F.col("page") * F.col("pagesize") + 1)
     sizes = stored(sizes, "page-sizes")
     reachable = stored(_reachable(drivers, paged), "reachable")
+    driven = se._driven(drivers, paged.index)
     waiting, best, reads = reachable, None, []
-    while waiting.head(1):
+    for last in (width, WIDER * width, sys.maxsize):
+        if not waiting.head(1):
+            break
         placed = row_number(waiting.withColumn("_bound", -F.col("bound")), ["request_id"], ["_bound", "least", "block"], "_rank").drop("_bound")
         placed = stored(placed, "placed")
-        turn = placed.where(F.col("_rank") < width).select("request_id", "block")
+        turn = placed.where(F.col("_rank") < last).select("request_id", "block")
         reads.append(turn.groupBy("request_id").agg(F.count(F.lit(1)).alias("read")))
-        found = se._found(drivers, paged.index, turn).drop("step")
+        found = stored(se._found(drivers, driven, turn).drop("step"), "matches")
         some = found if best is None else found.unionByName(best.select(found.columns))
         ordered = row_number(some.join(sizes, "request_id").withColumn("_key", _key()), ["request_id"], ["_key", "post_id"], "position")
         best = stored(ordered.where(F.col("position") < F.col("kept")), "best")
         worst = best.where(F.col("position") == F.col("kept") - 1).select("request_id", (-F.col("_key")).alias("_worst"), F.col("post_id").alias("_post"))
-        rest = placed.where(F.col("_rank") >= width).join(worst, "request_id", "left")
+        rest = placed.where(F.col("_rank") >= last).join(worst, "request_id", "left")
         enters = (F.col("bound") > F.col("_worst") + SLACK) | ((F.col("bound") >= F.col("_worst") - SLACK) & (F.col("least") < F.col("_post")))
         waiting = stored(rest.where(F.col("_worst").isNull() | enters).drop("_rank", "_worst", "_post"), "waiting")
-        width *= 2
     if best is None:
         best = sizes.where("false").select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("post_id", dict(paged.index.forward.dtypes)["post_id"]), ("relevance", "double"), ("position", "long"))))
     counts = best.select("request_id", F.col("position").alias("_last")).groupBy("request_id").agg(F.max("_last").alias("_last"))

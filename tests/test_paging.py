@@ -61,6 +61,17 @@ def test_pages_of_searches_that_back_off(world):
     assert all(r.query == used[r.request_id] for r in pages.collect())
 
 
+def test_rounds_are_few_and_forward_stays_where_it_is(spark, world, monkeypatch):
+    requests, index = world
+    names = []
+    monkeypatch.setattr(paging, "stored", lambda df, name, *folders: names.append(name) or session.stored(df, name, *folders))
+    paging.first_pages(requests, paging.bounds_of(index))
+    assert names.count("placed") <= 3  # of 100 blocks
+    candidates = session.stored(spark.range(50).selectExpr("cast(id as int) post_id"), "candidates")
+    plan = candidates.hint("merge").join(index.forward, "post_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(post_id") == 1
+
+
 def test_pages_of_nothing(spark, world):
     requests, index = world
     pages, blocks = paging.first_pages(requests.limit(0), paging.bounds_of(index))
